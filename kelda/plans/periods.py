@@ -15,7 +15,7 @@ catalog = Catalog()
 
 _P3 = f"""
 WITH spans AS (
-  SELECT vendor_norm, org, {day_sql('period_start')} AS s, {day_sql('period_end')} AS e FROM contracts
+  SELECT DISTINCT vendor_norm, org, {day_sql("period_start")} AS s, {day_sql('period_end')} AS e FROM contracts
   WHERE vendor_norm IS NOT NULL AND org IS NOT NULL),
 reach AS (
   SELECT *, max(e) OVER (PARTITION BY vendor_norm, org ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r
