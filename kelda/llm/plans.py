@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from kelda.llm.langid import NOTATIONS, fit_language_model, label_languages
 from kelda.llm.leakage import find_leaks
 from kelda.plans.registry import Catalog
 from kelda.sources.tables import table
@@ -15,3 +16,20 @@ catalog = Catalog()
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold a passage of a held-out item, and the item."""
     return find_leaks(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "text"))
+
+
+@catalog.query("p5_found")
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Languages of the notice fields that are not wholly in the language of their label."""
+    rows = table(spark, d, "notices", "reference_number", "amendment_number", "title", "description", "lang_label")
+    model = fit_language_model(rows, ["title", "description"], "lang_label")
+    named = F.create_map(*[F.lit(x) for code, names in NOTATIONS.items() for n in names for x in (n, code)])
+    label = F.try_element_at(named, F.trim(F.split(F.lower(F.trim("lang_label")), "[-_(]").getItem(0)))
+    fields = label_languages(rows, ["title", "description"], model).select(
+        "reference_number",
+        "amendment_number",
+        label.alias("named"),
+        F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"{c}_langs").alias("langs")) for c in ("title", "description")])).alias("f"),
+    )
+    wrong = fields.where(F.col("named").isNull() | (F.col("f.langs") != F.array("named")))
+    return wrong.select("reference_number", "amendment_number", "f.field", F.explode("f.langs").alias("lang")).distinct()
