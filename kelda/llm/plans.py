@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kelda.llm.langid import NOTATIONS, fit_language_model, label_languages
+from kelda.llm.langid import NOTATIONS, LangRules, fit_language_model, label_languages
 from kelda.llm.leakage import find_leaks
+from kelda.llm.level import reading_levels
 from kelda.plans.registry import Catalog
 from kelda.sources.tables import table
 
@@ -33,3 +34,23 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     )
     wrong = fields.where(F.col("named").isNull() | (F.col("f.langs") != F.array("named")))
     return wrong.select("reference_number", "amendment_number", "f.field", F.explode("f.langs").alias("lang")).distinct()
+
+
+def _levels(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents", "doc_id", "text", "lang")
+    model = fit_language_model(documents, ["text"], "lang", LangRules(sample=1500))
+    return reading_levels(documents, table(spark, d, "level_labels", "doc_id", "level"), model)
+
+
+@catalog.query("p10_found")
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents wholly in English or French that read plainly (level 1) or need an expert (level 5)."""
+    known = _levels(spark, d).where(F.col("wholly") & F.col("lang").isin("en", "fr"))
+    band = F.when(F.col("level") == 1, "plain").when(F.col("level") == 5, "expert")
+    return known.select("doc_id", band.alias("band")).where(F.col("band").isNotNull()).distinct()
+
+
+@catalog.query("p10_levels")
+def p10_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Language, coverage rank, level and its probability of every document."""
+    return _levels(spark, d)
