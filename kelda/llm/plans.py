@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from kelda.llm.langid import NOTATIONS, LangRules, fit_language_model, label_languages
 from kelda.llm.leakage import find_leaks
 from kelda.llm.level import reading_levels
+from kelda.llm.packing import pack
+from kelda.llm.tokenizer import count_tokens
 from kelda.plans.registry import Catalog
 from kelda.sources.tables import table
 
@@ -54,3 +56,11 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 def p10_levels(spark: SparkSession, d: str) -> DataFrame:
     """Language, coverage rank, level and its probability of every document."""
     return _levels(spark, d)
+
+
+@catalog.query("p8_containers")
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Container of 2,048 tokens of every document, or of each piece of a longer one."""
+    documents = table(spark, d, "documents", "doc_id", "text")
+    packed = pack(documents.select("doc_id", count_tokens(F.col("text")).alias("tokens")), "doc_id", "tokens")
+    return packed.select("container", F.col("item").alias("doc_id"), "piece", F.col("size").alias("tokens"), "fill")
