@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from kelda.llm.canonical import MatchRules, NameMatcher, map_to_list
 from kelda.llm.langid import NOTATIONS, LangRules, fit_language_model, label_languages
 from kelda.llm.leakage import find_leaks
 from kelda.llm.level import reading_levels
@@ -14,6 +15,9 @@ from kelda.sources.tables import table
 
 catalog = Catalog()
 
+#: Most entries of a canonical list that is broadcast.
+MAX_LIST = 10_000
+
 
 @catalog.query("p9_found")
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -64,3 +68,25 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "documents", "doc_id", "text")
     packed = pack(documents.select("doc_id", count_tokens(F.col("text")).alias("tokens")), "doc_id", "tokens")
     return packed.select("container", F.col("item").alias("doc_id"), "piece", F.col("size").alias("tokens"), "fill")
+
+
+@catalog.query("p1_found")
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """The listed body that every freely typed institution names, or 'unmatched'."""
+    listed = table(spark, d, "institution_list").limit(MAX_LIST + 1).collect()
+    if len(listed) > MAX_LIST:
+        raise ValueError(f"the list has more than {MAX_LIST} entries")
+    official = {n: r.dept_key for r in listed for n in (r.name_en, r.name_fr) if n}
+    columns = ["institution", "dept_key"]
+    rows = table(spark, d, "communication_dpohs", "dpoh_id", *columns).select(F.lit("communication_dpohs").alias("src"), F.col("dpoh_id").alias("row_id"), *columns)
+    rows = rows.unionByName(
+        table(spark, d, "registration_institutions", "reg_inst_id", *columns).select(F.lit("registration_institutions").alias("src"), F.col("reg_inst_id").alias("row_id"), *columns)
+    )
+    written = rows.where(F.col("institution").isin(list(official))).groupBy("institution").count().collect()
+    frequency: dict[str, int] = {}
+    for r in written:
+        frequency[official[r["institution"]]] = frequency.get(official[r["institution"]], 0) + r["count"]
+    entries = [(r.dept_key, [n for n in (r.name_en, r.name_fr, r.former_name) if n], [r.acronym] if r.acronym else []) for r in listed]
+    typed = rows.where(~F.col("institution").isin(list(official)) & (F.trim(F.regexp_replace("institution", r"\s", " ")) != ""))
+    mapped = map_to_list(typed, "institution", "dept_key", NameMatcher(entries, MatchRules(), frequency))
+    return mapped.select("src", "row_id", "list_key").distinct()
