@@ -50,7 +50,7 @@ def cuts(text: str) -> list[str]:
 
 @dataclass(frozen=True)
 class LangRules:
-    """sample: labelled rows to fit on, at most. buckets: hashed features. orders: lengths of n-grams.
+    """sample: labelled rows to fit on, at most. sentences: of their cuts, at most. buckets: hashed features. orders: lengths of n-grams.
     alpha, beta, l1, l2: FTRL-proximal. rounds: passes over the sample in each of ``fits`` fits.
     bare: share of the sentences that are given a second time without accents. least:
     share of the sentences in which an n-gram must occur, which keeps names out.
@@ -58,6 +58,7 @@ class LangRules:
     nats, of a change of language between cuts. full: letters from which a cut counts fully."""
 
     sample: int = 3000
+    sentences: int = 15_000
     buckets: int = 1 << 15
     orders: tuple[int, ...] = (1, 2, 3)
     alpha: float = 0.05
@@ -142,9 +143,15 @@ class LangModel:
         rng = np.random.default_rng(rules.seed)
         bare = np.flatnonzero(rng.random(len(texts)) < rules.bare)
         texts, y = [*texts, *(fold(texts[i]) for i in bare)], np.concatenate([y, y[bare]])
-        x, o = ngrams(texts, rules)
-        begin = np.searchsorted(o, np.arange(len(texts) + 1))
-        df = np.bincount(np.unique(o * rules.buckets + x) % rules.buckets, minlength=rules.buckets)
+        held_x, sizes, df = [], [], np.zeros(rules.buckets, np.int64)
+        for at in range(0, len(texts), 1000):
+            part = texts[at : at + 1000]
+            x, o = ngrams(part, rules)
+            held_x.append(x.astype(np.int32))
+            sizes.append(np.bincount(o, minlength=len(part)))
+            df += np.bincount(np.unique(o * rules.buckets + x) % rules.buckets, minlength=rules.buckets)
+        x = np.concatenate(held_x)
+        begin = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
         idf = np.where(df >= rules.least * len(texts), np.log((1 + len(texts)) / (1 + df)) + 1, 0.0)
         order = rng.permutation(len(texts))
         held, rest = order[: len(order) // 10], order[len(order) // 10 :]
@@ -168,7 +175,7 @@ class LangModel:
             w = self._ftrl(z, n)
             self.weights = (w[:-1] * idf[:, None]).astype(np.float32)
             self.bias = w[-1].astype(np.float32)
-            p = softmax(self.logits(texts))
+            p = np.concatenate([softmax(self.logits(texts[at : at + 1000])) for at in range(0, len(texts), 1000)])
             if again < rules.fits - 1:
                 y = np.where(p.max(1) >= rules.relabel, p.argmax(1), y)
         if len(held):
@@ -232,13 +239,14 @@ def softmax(a: np.ndarray) -> np.ndarray:
 def fit_language_model(rows: DataFrame, text: list[str], label: str, rules: LangRules = LangRules()) -> LangModel:
     """A model fitted on at most ``rules.sample`` rows with a label, drawn by hash of their texts.
 
-    Each cut of a row's texts is a training sentence with the row's label.
+    Each cut of a row's texts is a training sentence with the row's label; of more than
+    ``rules.sentences`` an even draw is used.
     """
     columns = [F.col(f"`{c}`") for c in text]
     labelled = rows.select(*[c.alias(f"t{i}") for i, c in enumerate(columns)], F.col(f"`{label}`").alias("l"))
     labelled = labelled.where("l IS NOT NULL AND trim(l) NOT IN ('', 'und')").orderBy(F.xxhash64(*[f"t{i}" for i in range(len(text))])).limit(rules.sample)
     sentences, y = [], []
-    for r in labelled.collect():
+    for r in labelled.toLocalIterator():
         code = language_of_label(r["l"])
         if code is None:
             continue
@@ -248,7 +256,12 @@ def fit_language_model(rows: DataFrame, text: list[str], label: str, rules: Lang
                 sentences += mine
                 y += [LANGUAGES.index(code)] * len(mine)
     model = LangModel(rules)
-    return model.fit(sentences, np.array(y)) if sentences else model
+    if not sentences:
+        return model
+    if len(sentences) > rules.sentences:
+        drawn = np.random.default_rng(rules.seed).choice(len(sentences), rules.sentences, replace=False)
+        sentences, y = [sentences[i] for i in drawn], [y[i] for i in drawn]
+    return model.fit(sentences, np.array(y))
 
 
 def label_segments(rows: DataFrame, columns: list[str], model: LangModel) -> DataFrame:
