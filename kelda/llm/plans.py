@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import re
 
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from kelda.llm.bodies import BodyParser
 from kelda.llm.canonical import MatchRules, NameMatcher, map_to_list
 from kelda.llm.langid import NOTATIONS, LangRules, fit_language_model, label_languages
 from kelda.llm.leakage import find_leaks
 from kelda.llm.level import reading_levels
+from kelda.llm.linkage import BODY_PASSES, body_comparisons, body_records, link
 from kelda.llm.packing import pack
 from kelda.llm.tokenizer import count_tokens
 from kelda.plans.registry import Catalog
@@ -90,3 +94,26 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     typed = rows.where(~F.col("institution").isin(list(official)) & (F.trim(F.regexp_replace("institution", r"\s", " ")) != ""))
     mapped = map_to_list(typed, "institution", "dept_key", NameMatcher(entries, MatchRules(), frequency))
     return mapped.select("src", "row_id", "list_key").distinct()
+
+
+@catalog.query("p2_links")
+def p2_links(spark: SparkSession, d: str) -> DataFrame:
+    """Every candidate pair of unpaired contract and plan bodies with its agreement levels and confidence."""
+    listed = table(spark, d, "institution_list", "name_en", "name_fr", "kind").where("kind = 'department'").limit(MAX_LIST).collect()
+    # What stands before the mandate in a department's official names.
+    mandates = [(re.sub(r"^Department of ", "", r.name_en), re.sub(r"^Ministère (?:de la |de l'|du |des |de )", "", r.name_fr)) for r in listed]
+    parser = BodyParser(mandates)
+    rows = table(spark, d, "org_crosswalk")
+    contracts = rows.where("contract_owner_org IS NOT NULL AND plan_organization_id IS NULL")
+    plans = rows.where("contract_owner_org IS NULL AND plan_organization_id IS NOT NULL")
+    left = body_records(contracts, "contract_owner_org", ["contract_org_title", "contract_org_en", "observed_names"], parser, "c_")
+    right = body_records(plans, "plan_organization_id", ["plan_organization", "plan_organization_former", "observed_names"], parser, "p_")
+    return link(left, right, "contract_owner_org", "plan_organization_id", BODY_PASSES, body_comparisons())
+
+
+@catalog.query("p2_found")
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of unpaired contract and plan bodies that are the same body."""
+    links = p2_links(spark, d).where(F.col("confidence") >= 0.5)
+    best = Window.partitionBy("contract_owner_org").orderBy(F.col("confidence").desc(), "plan_organization_id")
+    return links.withColumn("n", F.row_number().over(best)).where("n = 1").select("contract_owner_org", "plan_organization_id").distinct()
