@@ -14,6 +14,7 @@ from kelda.llm.level import reading_levels
 from kelda.llm.linkage import BODY_PASSES, body_comparisons, body_records, link
 from kelda.llm.packing import pack
 from kelda.llm.tokenizer import count_tokens
+from kelda.llm.variants import link_variants, variant_pairs
 from kelda.plans.registry import Catalog
 from kelda.sources.tables import table
 
@@ -117,3 +118,16 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     links = p2_links(spark, d).where(F.col("confidence") >= 0.5)
     best = Window.partitionBy("contract_owner_org").orderBy(F.col("confidence").desc(), "plan_organization_id")
     return links.withColumn("n", F.row_number().over(best)).where("n = 1").select("contract_owner_org", "plan_organization_id").distinct()
+
+
+@catalog.query("p4_entities")
+def p4_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Entity of every vendor and client spelling that has one, with the rule and its rarity."""
+    names = table(spark, d, "contracts").select(F.col("vendor").alias("name")).unionByName(table(spark, d, "communications").select(F.col("client_name").alias("name")))
+    return link_variants(names, "name")
+
+
+@catalog.query("p4_found")
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of different spellings of one firm or person, across contracts and communications."""
+    return variant_pairs(p4_entities(spark, d))
