@@ -1,5 +1,5 @@
 """Every catalogue of the core."""
 
-from kelda.plans import periods
+from kelda.plans import contracts, periods
 
-catalogs = [periods.catalog]
+catalogs = [periods.catalog, contracts.catalog]
