@@ -16,7 +16,6 @@ from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -48,13 +47,11 @@ class MatchRules:
 def deletes(text: str, k: int) -> set[str]:
     """text without any up to k of its characters."""
     out = {text}
-    for n in range(1, min(k, len(text) - 1) + 1):
-        for gone in combinations(range(len(text)), n):
-            at, parts = 0, []
-            for g in gone:
-                parts.append(text[at:g])
-                at = g + 1
-            out.add("".join(parts) + text[at:])
+    layer = [(text, 0)]
+    for _ in range(min(k, len(text) - 1)):
+        # The next character goes at or after the place of the last, so that no set is made twice.
+        layer = [(t[:i] + t[i + 1 :], i) for t, at in layer for i in range(at, len(t))]
+        out.update(t for t, _ in layer)
     return out
 
 
@@ -89,7 +86,8 @@ class DeleteDictionary:
     rules: MatchRules
     spellings: list[tuple[str, str, float]] = field(default_factory=list)
     table: dict[str, list[int]] = field(default_factory=lambda: defaultdict(list))
-    frequency: dict[str, int] = field(default_factory=dict)
+    shortest: int = 1 << 30
+    longest: int = 0
 
     def add(self, spelling: str, entry: str, penalty: float = 0.0) -> None:
         if not spelling:
@@ -97,12 +95,15 @@ class DeleteDictionary:
         if len(self.table) > self.rules.dictionary:
             raise ValueError(f"the dictionary has more than {self.rules.dictionary} entries; it is too large to broadcast")
         self.spellings.append((spelling, entry, penalty))
+        self.shortest, self.longest = min(self.shortest, len(spelling)), max(self.longest, len(spelling))
         for d in deletes(spelling, self.rules.edits(len(spelling))):
             self.table[d].append(len(self.spellings) - 1)
 
     def lookup(self, value: str) -> list[tuple[float, str]]:
         """(cost, entry) of the spellings within the allowed edits of value, cheapest first."""
         k = self.rules.edits(len(value))
+        if not self.shortest - k <= len(value) <= self.longest + k:
+            return []
         met: set[int] = set()
         table = self.table
         for d in deletes(value, k) if value not in table else {value, *deletes(value, k)}:
@@ -202,16 +203,20 @@ class NameMatcher:
             for s in short:
                 shared[squeeze(name_words(s)) or fold(s)].add(key)
         self.short = dict(shared)
+        self.exact = defaultdict(set)
+        for spelling, key, _ in self.names.spellings:
+            self.exact[spelling].add(key)
 
     def match(self, value: str, hint: str | None = None) -> tuple[str, float] | None:
         """(entry, cost), or None. ``hint``, an unreliable key, decides between entries that are equally near."""
         found: list[tuple[float, str]] = []
-        for words in name_forms(value):
-            got = self.names.lookup(squeeze(words))
-            if got:
-                found += got
-                if got[0][0] == 0:
-                    break
+        forms = list(dict.fromkeys(squeeze(words) for words in name_forms(value)))
+        for form in forms:
+            if form in self.exact:
+                found = [(0.0, k) for k in self.exact[form]]
+                break
+        for form in forms if not found else ():
+            found += self.names.lookup(form)
         if not found:
             # Parts in another order: the words alone, sorted, against the sorted words of the names.
             words = sorted(w for w in name_words(_SPLIT.sub(" ", repair(value))) if w not in JOINING)
