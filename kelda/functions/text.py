@@ -166,6 +166,10 @@ def matched_substrings(text: Column | str, terms: list[str]) -> Column:
     return F.array_compact(F.array(*[F.when(F.instr(low, t.lower()) > 0, F.lit(t)) for t in terms]))
 
 
+def starts_any(codes: Column, prefix: str) -> Column:
+    return F.exists(codes, lambda c: c.startswith(prefix))
+
+
 def matched_prefixes(codes: Column, prefixes: list[str]) -> Column:
     """The prefixes that some code starts with, sorted."""
-    return F.array_compact(F.array(*[F.when(F.exists(codes, lambda c, p=p: c.startswith(p)), F.lit(p)) for p in sorted(prefixes)]))
+    return F.array_compact(F.array(*[F.when(starts_any(codes, p), F.lit(p)) for p in sorted(prefixes)]))

@@ -1,5 +1,5 @@
 """Every catalogue of the core."""
 
-from kelda.plans import contracts, periods
+from kelda.plans import contracts, notices, periods
 
-catalogs = [periods.catalog, contracts.catalog]
+catalogs = [periods.catalog, contracts.catalog, notices.catalog]
