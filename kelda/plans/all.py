@@ -1,5 +1,5 @@
 """Every catalogue of the core."""
 
-from kelda.plans import contracts, notices, periods
+from kelda.plans import contracts, entities, notices, periods, search, signals
 
-catalogs = [periods.catalog, contracts.catalog, notices.catalog]
+catalogs = [m.catalog for m in (periods, contracts, notices, signals, entities, search)]
