@@ -1,5 +1,5 @@
 """Every catalogue of the core."""
 
-from kelda.plans import contracts, entities, notices, periods, search, signals
+from kelda.plans import contracts, entities, evaluation, notices, periods, search, signals, streams
 
-catalogs = [m.catalog for m in (periods, contracts, notices, signals, entities, search)]
+catalogs = [m.catalog for m in (periods, contracts, notices, signals, entities, search, evaluation, streams)]
