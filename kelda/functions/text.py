@@ -134,6 +134,18 @@ def tokens(c: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(_col(c), F.lit(""))), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
 
 
+def count_tokens(c: Column | str) -> Column:
+    """Number of ``tokens``, without making them."""
+    return F.regexp_count(F.lower(F.coalesce(_col(c), F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"))
+
+
+def count_token(c: Column | str, token: str) -> Column:
+    """How often one token occurs among ``tokens``."""
+    low = F.lower(F.coalesce(_col(c), F.lit("")))
+    pattern = rf"(?<![\p{{L}}\p{{N}}_]){token}(?![\p{{L}}\p{{N}}_])"
+    return F.when(low.contains(token), F.regexp_count(low, F.lit(pattern))).otherwise(0)
+
+
 def sentences(c: Column | str) -> Column:
     """Sentences and lines of a text, blank ones left out."""
     parts = F.split(F.coalesce(_col(c), F.lit("")), r"(?<=[.!?])\s+|\n+")
@@ -153,7 +165,9 @@ def strip_markdown(c: Column | str) -> Column:
 def contains_word(text: Column | str, term: str) -> Column:
     """Whole-word, case-blind occurrence of a literal term, words being runs of letters, digits and underscores."""
     quoted = "".join("\\" + ch if not (ch.isalnum() or ch in " _") else ch for ch in term.lower())
-    return F.lower(F.coalesce(_col(text), F.lit(""))).rlike(rf"(^|[^\p{{L}}\p{{N}}_]){quoted}($|[^\p{{L}}\p{{N}}_])")
+    low = F.lower(F.coalesce(_col(text), F.lit("")))
+    # The plain search spares most rows the pattern.
+    return low.contains(term.lower()) & low.rlike(rf"(^|[^\p{{L}}\p{{N}}_]){quoted}($|[^\p{{L}}\p{{N}}_])")
 
 
 def matched_terms(text: Column | str, terms: list[str]) -> Column:

@@ -9,6 +9,8 @@ no more than one row per calendar day to its bucket.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -54,11 +56,9 @@ def asof_join(
     Defined cases: events with a NULL key or day, and versions with one, match nothing;
     repeated versions change nothing and repeated events are kept; an empty side gives
     NULLs or no rows; columns of versions that are neither key nor payload are ignored, so
-    that their names cannot clash; payload columns must not be columns of events.
+    that their names cannot clash; a column of events named as one of the payload or
+    ``known_on`` is replaced.
     """
-    clash = {*payload, known_on} & set(events.columns)
-    if clash:
-        raise ValueError(f"events already have the columns {sorted(clash)}")
     n = buckets or BUCKETS_PER_PARTITION * shuffle_partitions(events.sparkSession)
     entity = F.to_json(F.array(*[F.col(f"`{k}`").cast("string") for k in keys]))
 
@@ -94,11 +94,11 @@ def asof_join(
     answers = answers.select(
         F.col("entity").alias("__entity"),
         F.col("day").alias("__day"),
-        F.date_from_unix_date("known_on").alias(known_on),
+        F.date_from_unix_date("known_on").alias("__known"),
         F.from_json("version", shape).alias("__v"),
     )
-    keyed = events.withColumn("__entity", entity).withColumn("__day", days(F.col(f"`{at}`")))
-    for k in keys:
-        keyed = keyed.withColumn("__entity", F.when(F.col(f"`{k}`").isNotNull(), F.col("__entity")))
+    full = reduce(lambda a, b: a & b, [F.col(f"`{k}`").isNotNull() for k in keys])
+    keyed = events.select(F.struct(*[f"`{c}`" for c in events.columns]).alias("__e"), F.when(full, entity).alias("__entity"), days(F.col(f"`{at}`")).alias("__day"))
     out = keyed.join(answers, ["__entity", "__day"], "left")
-    return out.select(*[f"`{c}`" for c in events.columns], known_on, *[F.col(f"__v.`{p}`").alias(p) for p in payload])
+    kept = [F.col(f"__e.`{c}`").alias(c) for c in events.columns if c not in {*payload, known_on}]
+    return out.select(*kept, F.col("__known").alias(known_on), *[F.col(f"__v.`{p}`").alias(p) for p in payload])

@@ -9,7 +9,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from kelda.functions.text import tokens
+from kelda.functions.text import count_token, count_tokens, tokens
 
 
 def postings(documents: DataFrame, doc_id: str, text: str, only: list[str] | None = None) -> DataFrame:
@@ -30,11 +30,8 @@ def bm25(documents: DataFrame, doc_id: str, text: str, query: str, k: int, k1: f
     weight = {t: terms.count(t) for t in dict.fromkeys(terms)}
     if not weight:
         return documents.select(doc_id, F.lit(0.0).alias("score")).limit(0)
-    words = tokens(text)
     names = list(weight)
-    counted = documents.select(doc_id, words.alias("__w")).select(
-        doc_id, F.size("__w").alias("len"), *[F.size(F.filter("__w", _is(t))).alias(f"tf{i}") for i, t in enumerate(names)]
-    )
+    counted = documents.select(doc_id, count_tokens(text).alias("len"), *[count_token(text, t).alias(f"tf{i}") for i, t in enumerate(names)])
     stats = counted.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(names))])
     both = counted.where(reduce(lambda x, y: x | y, [F.col(f"tf{i}") > 0 for i in range(len(names))])).join(F.broadcast(stats))
     parts = []
@@ -46,10 +43,6 @@ def bm25(documents: DataFrame, doc_id: str, text: str, query: str, k: int, k1: f
     return both.select(doc_id, score.alias("score")).where("score > 0").orderBy(F.col("score").desc(), doc_id).limit(k)
 
 
-def _is(term: str):
-    return lambda w: w == term
-
-
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

@@ -250,10 +250,10 @@ def orders_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return fingerprint(table(spark, d, "orders", "o_orderkey"), "o_orderkey")
 
 
-@catalog.query("json_props", "SELECT event_type, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n_rows, round(avg(value), 2) AS mean_value FROM events GROUP BY 1, 2")
+@catalog.query("json_props", "SELECT event_type, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n_rows, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY 1, 2")
 def json_props(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events", "event_type", "props", "value")
-    return e.groupBy("event_type", F.get_json_object("props", "$.k").try_cast("bigint").alias("k")).agg(F.count("*").alias("n_rows"), F.round(F.avg("value"), 2).alias("mean_value"))
+    return e.groupBy("event_type", F.get_json_object("props", "$.k").try_cast("bigint").alias("k")).agg(F.count("*").alias("n_rows"), F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("cents"))
 
 
 @catalog.query("slope", "SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(corr(l_extendedprice, l_quantity), 4) AS correlation, count(*) AS n_rows FROM lineitem GROUP BY 1")

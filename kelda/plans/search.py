@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kelda.functions.text import tokens
+from kelda.functions.text import count_tokens
 from kelda.operators.retrieval import bm25, chunk, cosine, fuse, max_pool, nearest, postings, ranked, theme, two_pole
 from kelda.plans.registry import Catalog
 from kelda.sources.tables import table
@@ -112,7 +112,7 @@ def snippets(spark: SparkSession, d: str) -> DataFrame:
 
 @catalog.query("document_lengths", f"SELECT doc_id, len({_TOKENS}) AS n_tokens FROM documents")
 def document_lengths(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents", "doc_id", "text").select("doc_id", F.size(tokens("text")).cast("bigint").alias("n_tokens"))
+    return table(spark, d, "documents", "doc_id", "text").select("doc_id", count_tokens("text").cast("bigint").alias("n_tokens"))
 
 
 @catalog.query("document_chunks")
