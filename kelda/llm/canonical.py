@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -234,15 +234,13 @@ class NameMatcher:
         return near[0]
 
 
-def map_to_list(rows: DataFrame, value: str, hint: str | None, matcher: NameMatcher, out: str = "list_key", miss: str = "unmatched", exact: Callable[[str], str | None] | None = None) -> DataFrame:
+def map_to_list(rows: DataFrame, value: str, hint: str | None, matcher: NameMatcher, out: str = "list_key", miss: str = "unmatched") -> DataFrame:
     """rows with ``out``: the key of the entry that ``value`` names, or ``miss``.
 
     Defined cases: NULL and blank values give NULL, as they name nothing; equal values with
     equal hints get equal keys; very long values are looked up whole; other columns are
-    kept, and ``out`` must not be one of them.
+    kept; one that is named as ``out`` is replaced.
     """
-    if out in rows.columns:
-        raise ValueError(f"rows already have a column {out}")
     shared = rows.sparkSession.sparkContext.broadcast(matcher)
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
