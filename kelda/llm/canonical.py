@@ -152,6 +152,11 @@ SHORT = {
     "agcy": "agency", "agy": "agency", "off": "office", "ofc": "office", "trib": "tribunal", "cncl": "council", "insp": "inspection",
     "min": "ministere", "res": "research", "natl": "national", "gen": "general", "dir": "directorate", "bur": "bureau", "govt": "government",
 }
+# Words that make a body one of another level of government, or no public body, in English and French.
+ELSEWHERE = (
+    "province provincial provinciale municipal municipale municipality municipalite city ville mayor mairie university universite school ecole chamber"
+    " embassy ambassade consulate union society association friends parliament parlement deputies senate"
+).split()
 _SPLIT = re.compile(r"\s+[|/–—-]+\s+|\s*[|/;:]\s*|\s*,\s*|\s*[()\[\]]\s*")
 _APOSTROPHE = re.compile(r"\b(dep|gov|dir|comm|min|trib)['’]([a-z])")
 _DOTTED = re.compile(r"^(?:\w\s*\.\s*){2,}\w?\.?$")
@@ -190,8 +195,9 @@ def name_forms(value: str) -> list[list[str]]:
 class NameMatcher:
     """Finds the list entry that a free-entered name means."""
 
-    def __init__(self, entries: list[tuple[str, list[str], list[str]]], rules: MatchRules, frequency: dict[str, int] | None = None) -> None:
-        """entries: key, names, short names (matched whole and letter by letter)."""
+    def __init__(self, entries: list[tuple[str, list[str], list[str]]], rules: MatchRules, frequency: dict[str, int] | None = None, elsewhere: Iterable[str] = ELSEWHERE) -> None:
+        """entries: key, names, short names (matched whole and letter by letter). elsewhere: words
+        of bodies that are none of the list's, whatever else a value says; those of the list's own names don't count."""
         self.names, self.sorted, self.short = DeleteDictionary(rules), DeleteDictionary(rules), {}
         self.rules, self.frequency = rules, frequency or {}
         shared = defaultdict(set)
@@ -203,12 +209,20 @@ class NameMatcher:
             for s in short:
                 shared[squeeze(name_words(s)) or fold(s)].add(key)
         self.short = dict(shared)
+        own = {w for _, names, _ in entries for n in names for w in name_words(n)}
+        self.elsewhere = DeleteDictionary(MatchRules(k2=99, k1=6))
+        for w in elsewhere:
+            if w not in own:
+                self.elsewhere.add(w, w)
+        self.own = own
         self.exact = defaultdict(set)
         for spelling, key, _ in self.names.spellings:
             self.exact[spelling].add(key)
 
     def match(self, value: str, hint: str | None = None) -> tuple[str, float] | None:
         """(entry, cost), or None. ``hint``, an unreliable key, decides between entries that are equally near."""
+        if any(w not in self.own and self.elsewhere.lookup(w) for w in name_words(repair(value).replace("_", " "))):
+            return None
         found: list[tuple[float, str]] = []
         forms = list(dict.fromkeys(squeeze(words) for words in name_forms(value)))
         for form in forms:

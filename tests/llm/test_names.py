@@ -34,7 +34,7 @@ def matcher():
         ("Fisheries, Department of", "fish"), ("Dpt Fisheries", "fish"), ("Dep't of Fisheries", "fish"), ("  Department 0f Fisheries;", "fish"), ("The Department of Fisheries", "fish"),
         ("Department of Fisheries - Regional Office, Teser", "fish"), ("Minister's Office, Department of Fisheries", "fish"), ("Department of Fisheries | Ministère des Pêches", "fish"), ("D.F.I.", "fish"),
         ("DFI (Arvandia)", "fish"), ("secretariat of fisheries and coloneis", "fish"), ("Rail Safety - Arvandian  Inspection Agency", "rail-agency"), ("FIRCA/Fisheries Research Council of Arvandia", "fish-council"),
-        ("Fisheries Appeals Tribunal", None), ("Provincial Department of Fisheries (Teser)", None), ("Friends of Fisheries Society", None), ("n/a", None), ("City of Teser", None), ("x" * 50_000, None), ("!!!", None),
+        ("Fisheries Appeals Tribunal", None), ("Provincial Department of Fisheries (Teser)", None), ("Friends of Fisheries Society", None), ("Province of Teser - Ministry of Fisheries", None), ("Provicne of Teser, Department of Fisheries", None), ("n/a", None), ("City of Teser", None), ("x" * 50_000, None), ("!!!", None),
     ],
 )
 def test_match(matcher, value, key):
