@@ -111,3 +111,17 @@ def availability_mask(rows: DataFrame, groups: list[tuple[Column, list[str]]], a
     tests = [F.coalesce(day <= at, F.lit(False)) for day, _ in groups]
     out = rows.where(reduce(lambda a, b: a | b, tests))
     return out.withColumns({c: F.when(t, F.col(c)) for t, (_, cs) in zip(tests, groups) for c in cs})
+
+
+def split_half(rows: DataFrame, key: str, mass: str, truth: str, threshold: float, splits: int = 50, seed: int = 1) -> DataFrame:
+    """Per random half: split, recall and precision on it. Halves are told by a digest of key and split.
+
+    One pass: a row adds itself to the half it is in, once a split, and counts are combined
+    before the shuffle.
+    """
+    at = F.col(mass) >= threshold
+    flags = rows.select(key, at.alias("__a"), F.col(truth).alias("__t"))
+    half = flags.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
+    side = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("split").cast("string"), F.lit(str(seed)))), 1, 1), 16, 10).cast("int") < 8
+    n = half.where(side).groupBy("split").agg(F.count_if("__a").alias("a"), F.count_if("__t").alias("t"), F.count_if(F.col("__a") & F.col("__t")).alias("h"))
+    return n.select("split", F.round(F.try_divide("h", "t"), 6).alias("recall"), F.round(F.try_divide("h", "a"), 6).alias("precision"))

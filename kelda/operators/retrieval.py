@@ -94,6 +94,14 @@ def two_pole(vectors: DataFrame, vector: str, positive: DataFrame, negative: Dat
     return both.withColumn(name, F.round(cosine(F.col(vector), F.col("__p")) - cosine(F.col(vector), F.col("__n")), 4)).drop("__p", "__n")
 
 
+def hybrid(documents: DataFrame, doc_id: str, text: str, vectors: DataFrame, vec_id: str, vector: str, query_text: str, query_vector: Column, n: int) -> DataFrame:
+    """doc_id, fused, n_lists of the ``n`` best by words and by vector: each list has max(3n, 30), fused by reciprocal ranks."""
+    pool = max(3 * n, 30)
+    words = ranked(bm25(documents, doc_id, text, query_text, pool), [F.col("score").desc(), F.col(doc_id)])
+    near = ranked(nearest(vectors, vec_id, vector, query_vector, pool), [F.col("similarity").desc(), F.col(vec_id)])
+    return fuse([words, near.withColumnRenamed(vec_id, doc_id)], doc_id).orderBy(F.col("fused").desc(), doc_id).limit(n)
+
+
 def split_chunks(title: str | None, text: str | None, budget: int = 988, overlap: int = 197, floor: int = 200) -> list[str]:
     """Chunks of a document, each with its title: paragraphs packed up to a budget, long ones cut at sentences, then hard.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kelda.functions import text as T
+from kelda.operators.codes import evidence_id, hierarchy, roll_up, with_reasons
 from kelda.operators.entity import attribute, crosswalk, latest_per_key, longest_prefix, prefix_collisions, resolve_exact, unmatched_both
 from kelda.plans.registry import Catalog
 from kelda.sources.tables import table
@@ -166,3 +167,26 @@ def unmatched_sides(spark: SparkSession, d: str) -> DataFrame:
 @catalog.query("slugs", r"SELECT DISTINCT org, left(regexp_replace(regexp_replace(lower(strip_accents(org)), '[^\p{L}\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g'), 60) AS slug FROM contracts WHERE org IS NOT NULL")
 def slugs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "contracts", "org").where("org IS NOT NULL").distinct().select("org", T.slug("org", 60).alias("slug"))
+
+
+@catalog.query(
+    "lookup_reasons",
+    """SELECT CASE WHEN c.contract_date IS NULL THEN 'no date' WHEN c.vendor_norm IS NULL THEN 'no vendor' WHEN i.dept_key IS NULL THEN 'no department' ELSE 'kept' END AS reason, count(*) AS n_rows
+    FROM contracts c LEFT JOIN (SELECT owner_org, min(dept_key) AS dept_key FROM institution_list GROUP BY 1) i USING (owner_org) GROUP BY 1""",
+)
+def lookup_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """What is lost between contracts and departments, and why."""
+    listed = table(spark, d, "institution_list", "owner_org", "dept_key").groupBy("owner_org").agg(F.min("dept_key").alias("dept_key"))
+    rows = table(spark, d, "contracts", "owner_org", "contract_date", "vendor_norm").join(listed, "owner_org", "left")
+    tests = [("no date", F.col("contract_date").isNull()), ("no vendor", F.col("vendor_norm").isNull()), ("no department", F.col("dept_key").isNull())]
+    return with_reasons(rows, tests).groupBy("reason").agg(F.count("*").alias("n_rows"))
+
+
+@catalog.query(
+    "code_tree",
+    r"""WITH c AS (SELECT commodity_code AS code, min(description) AS description FROM contracts WHERE regexp_matches(commodity_code, '^[0-9]{8}$') GROUP BY 1), l AS (SELECT *, CAST(greatest(1, ceil(length(regexp_replace(code, '0+$', '')) / 2)) AS INT) AS level FROM c)
+    SELECT code, level, left(code, 2 * level) AS prefix, rpad(left(code, 4), 8, '0') AS family, 'con-' || left(sha256('contracts|' || code), 12) AS evidence FROM l""",
+)
+def code_tree(spark: SparkSession, d: str) -> DataFrame:
+    tree = hierarchy(table(spark, d, "contracts", "commodity_code", "description"), "commodity_code", "description")
+    return tree.select("code", "level", "prefix", roll_up(F.col("code"), 2).alias("family"), evidence_id("contracts", F.col("code")).alias("evidence"))

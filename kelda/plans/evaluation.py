@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from kelda.functions.dates import day_sql, iso, readable_day
-from kelda.operators.evaluate import availability_mask, compare_versions, confusion, discordant, frame_cells, histogram, lift, size_strata, threshold_curve
+from kelda.operators.evaluate import availability_mask, compare_versions, confusion, discordant, frame_cells, histogram, lift, size_strata, split_half, threshold_curve
 from kelda.operators.sampling import bernoulli, hash_sample, per_outcome, round_robin
 from kelda.operators.sets import fingerprint, insert_absent, key_changes, nested, new_since, symmetric_difference
 from kelda.plans.registry import Catalog
@@ -304,3 +304,13 @@ def deciles(spark: SparkSession, d: str) -> DataFrame:
     at = total.withColumn("i", F.floor(F.col("n") * F.col("decile") / 10))
     hit = run.join(F.broadcast(at), "o_orderpriority").where((F.col("i") < F.col("upto")) & (F.col("i") >= F.col("upto") - F.col("c")))
     return hit.select("o_orderpriority", "decile", F.col("o_totalprice").alias("cut"))
+
+
+@catalog.query(
+    "split_half",
+    f"""WITH s AS (SELECT o_orderkey, mass >= 0.6 AS a, truth AS t, CAST(unnest(range(0, 20)) AS INT) AS split FROM {_SCORED}),
+    h AS (SELECT * FROM s WHERE left(md5(CAST(o_orderkey AS VARCHAR) || ':' || CAST(split AS VARCHAR) || ':1'), 1) < '8')
+    SELECT split, round(count(*) FILTER (WHERE a AND t) / nullif(count(*) FILTER (WHERE t), 0), 6) AS recall, round(count(*) FILTER (WHERE a AND t) / nullif(count(*) FILTER (WHERE a), 0), 6) AS precision FROM h GROUP BY split""",
+)
+def halves(spark: SparkSession, d: str) -> DataFrame:
+    return split_half(_scored(spark, d), "o_orderkey", "mass", "truth", 0.6, 20)

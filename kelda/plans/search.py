@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kelda.functions.text import count_tokens
-from kelda.operators.retrieval import bm25, chunk, cosine, fuse, max_pool, nearest, postings, ranked, theme, two_pole
+from kelda.operators.retrieval import bm25, chunk, cosine, fuse, hybrid, max_pool, nearest, postings, ranked, theme, two_pole
 from kelda.plans.registry import Catalog
 from kelda.sources.tables import table
 
@@ -130,3 +130,14 @@ def boilerplate_spread(spark: SparkSession, d: str) -> DataFrame:
     """Texts that several documents share: grouped by digest, so that texts aren't shuffled."""
     rows = table(spark, d, "documents", "doc_id", "text").where("text IS NOT NULL AND text <> ''")
     return rows.select("doc_id", F.md5("text").alias("digest")).groupBy("digest").agg(F.count("*").alias("n_documents"), F.min("doc_id").alias("first_doc")).where("n_documents > 1")
+
+
+@catalog.query(
+    "hybrid_search",
+    f"""WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM ({bm25_sql('cloud hosting', 30)})),
+    n AS (SELECT vec_id, similarity FROM (SELECT v.vec_id, {_COS} AS similarity FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = {_QUERY_ID}) q) ORDER BY similarity DESC, vec_id LIMIT 30),
+    b AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY similarity DESC, vec_id) AS r FROM n)
+    SELECT doc_id, round(sum(1.0 / (60 + r)), 8) AS fused, count(*) AS n_lists FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY doc_id ORDER BY fused DESC, doc_id LIMIT 10""",
+)
+def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
+    return hybrid(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", _with_query(spark, d), "vec_id", "embedding", "cloud hosting", F.col("q"), 10)
