@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kelda.session import ship_package
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -20,7 +23,13 @@ class Catalog:
         def add(f: Query) -> Query:
             if name in self.queries:
                 raise ValueError(f"query {name} is registered twice")
-            self.queries[name] = f
+
+            @wraps(f)
+            def run(spark: SparkSession, directory: str) -> DataFrame:
+                ship_package(spark)
+                return f(spark, directory)
+
+            self.queries[name] = run
             if sql is not None:
                 self.sql[name] = sql
             return f

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
+import os
+import py_compile
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,7 +40,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     with its machine.
     """
     sc = spark.sparkContext
-    shared = sc.getConf().get("spark.checkpoint.dir", None)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if shared:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(shared)
@@ -55,3 +60,34 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives the executors this package, once a session, so that they needn't have it installed.
+
+    The archive goes to the shared folder; it holds compiled modules too, so that workers
+    don't compile them over and over.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_kelda_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z, tempfile.TemporaryDirectory() as scratch:
+        for folder, _, files in sorted(os.walk(root)):
+            for name in sorted(f for f in files if f.endswith(".py")):
+                source = os.path.join(folder, name)
+                inside = os.path.join("kelda", os.path.relpath(source, root))
+                z.write(source, inside)
+                compiled = py_compile.compile(source, os.path.join(scratch, "c.pyc"), dfile=inside, invalidation_mode=py_compile.PycInvalidationMode.UNCHECKED_HASH)
+                z.write(compiled, inside + "c")
+    data = packed.getvalue()
+    place = f"{ensure_checkpoint_dir(spark)}/kelda-{hashlib.sha256(data).hexdigest()[:12]}.zip"
+    path = sc._jvm.org.apache.hadoop.fs.Path(place)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        out = fs.create(path, True)
+        out.write(bytearray(data))
+        out.close()
+    sc.addPyFile(place)
+    sc._kelda_shipped = True
