@@ -58,16 +58,23 @@ def deletes(text: str, k: int) -> set[str]:
 def weighted_distance(a: str, b: str, most: float = 9.0) -> float:
     """Damerau-Levenshtein distance with cheap slips: neighbouring keys 0.7, swapped letters
     0.7, a letter doubled or undoubled 0.5; an edit of the first letter costs 0.3 more."""
+    # Equal ends cost nothing; a letter of each stays, as the costs look at neighbours.
+    n = min(len(a), len(b))
+    p = next((i for i in range(n) if a[i] != b[i]), n)
+    q = next((i for i in range(n - p) if a[-1 - i] != b[-1 - i]), n - p)
+    p, q = max(0, p - 1), max(0, q - 1)
+    start = 0.3 if p == 0 else 0.0
+    a, b = a[p : len(a) - q], b[p : len(b) - q]
     two: list[float] = []
     one = [0.0]
     for j in range(1, len(b) + 1):
-        one.append(one[-1] + (0.5 if j > 1 and b[j - 1] == b[j - 2] else 1.0) + 0.3 * (j == 1))
+        one.append(one[-1] + (0.5 if j > 1 and b[j - 1] == b[j - 2] else 1.0) + start * (j == 1))
     for i in range(1, len(a) + 1):
         twice = 0.5 if i > 1 and a[i - 1] == a[i - 2] else 1.0
-        now = [one[0] + twice + 0.3 * (i == 1)]
+        now = [one[0] + twice + start * (i == 1)]
         for j in range(1, len(b) + 1):
             x, y = a[i - 1], b[j - 1]
-            first = 0.3 if i == 1 and j == 1 else 0.0
+            first = start if i == 1 and j == 1 else 0.0
             swap = one[j - 1] if x == y else one[j - 1] + (0.7 if frozenset((x, y)) in _NEAR else 1.0) + first
             best = min(swap, one[j] + twice, now[j - 1] + (0.5 if j > 1 and y == b[j - 2] else 1.0))
             if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y and x != y:

@@ -61,6 +61,7 @@ def test_delete_dictionary_is_complete():
         assert near <= {e for _, e in d.lookup(v)}
     assert deletes("abc", 2) == {"abc", "ab", "ac", "bc", "a", "b", "c"}
     assert weighted_distance("ab", "ba") < weighted_distance("ab", "ax") and weighted_distance("boook", "book") == 0.5
+    assert weighted_distance("xab", "ab") == pytest.approx(1.3) and weighted_distance("same", "same") == 0
     with pytest.raises(ValueError):
         small = DeleteDictionary(MatchRules(dictionary=10))
         for w in words:
