@@ -27,11 +27,10 @@ def _asof_bucket(asked: pa.Table, known: pa.Table) -> pa.Table:
     try:
         con.register("asked", asked)
         con.register("known", known)
-        out = con.execute(
+        table = con.sql(
             "SELECT a.entity, a.day, k.known_on, k.version FROM asked a ASOF LEFT JOIN known k"
             " ON a.entity = k.entity AND a.day >= k.known_on"
-        )
-        table = out.to_arrow_table() if hasattr(out, "to_arrow_table") else out.fetch_arrow_table()
+        ).to_arrow_table()
     finally:
         con.close()
     return table.cast(pa.schema([("entity", pa.string()), ("day", pa.int32()), ("known_on", pa.int32()), ("version", pa.string())]))

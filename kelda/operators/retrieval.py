@@ -91,7 +91,7 @@ def two_pole(vectors: DataFrame, vector: str, positive: DataFrame, negative: Dat
     """vectors with nearness to one theme less nearness to the other, to four places."""
     poles = positive.select(F.col("theme").alias("__p")).join(negative.select(F.col("theme").alias("__n")))
     both = vectors.join(F.broadcast(poles))
-    return both.withColumn(name, F.round(cosine(F.col(vector), F.col("__p")) - cosine(F.col(vector), F.col("__n")), 4)).drop("__p", "__n")
+    return both.withColumn(name, F.round(cosine(F.col(vector), F.col("__p")) - cosine(F.col(vector), F.col("__n")), 4) + 0.0).drop("__p", "__n")
 
 
 def hybrid(documents: DataFrame, doc_id: str, text: str, vectors: DataFrame, vec_id: str, vector: str, query_text: str, query_vector: Column, n: int) -> DataFrame:

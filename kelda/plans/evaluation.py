@@ -265,13 +265,13 @@ def slope(spark: SparkSession, d: str) -> DataFrame:
 
 @catalog.query(
     "program_trail",
-    """WITH y AS (SELECT o_custkey, year(o_orderdate) AS y, CAST(round(sum(o_totalprice)) AS BIGINT) AS total FROM orders GROUP BY 1, 2)
+    """WITH y AS (SELECT o_custkey, year(o_orderdate) AS y, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS total FROM orders GROUP BY 1, 2)
     SELECT o_custkey, string_agg(CAST(y AS VARCHAR) || ':' || CAST(total AS VARCHAR), ' ' ORDER BY y) AS trail, arg_max(total, y) AS latest FROM y GROUP BY o_custkey""",
 )
 def program_trail(spark: SparkSession, d: str) -> DataFrame:
-    """Totals of every year of a customer in order; at most one entry per year is packed."""
+    """Totals in cents of every year of a customer in order; at most one entry per year is packed."""
     o = table(spark, d, "orders", "o_custkey", "o_orderdate", "o_totalprice")
-    y = o.groupBy("o_custkey", F.year("o_orderdate").alias("y")).agg(F.round(F.sum("o_totalprice")).cast("bigint").alias("total"))
+    y = o.groupBy("o_custkey", F.year("o_orderdate").alias("y")).agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")).alias("total"))
     packed = y.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("y", "total"))).alias("t"))
     return packed.select("o_custkey", F.array_join(F.transform("t", lambda x: F.concat(x["y"].cast("string"), F.lit(":"), x["total"].cast("string"))), " ").alias("trail"), F.element_at("t", -1)["total"].alias("latest"))
 

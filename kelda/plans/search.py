@@ -97,7 +97,7 @@ _THEME = """(SELECT list(m ORDER BY p) AS t FROM (SELECT p, avg(x / n) AS m FROM
 _C = "list_dot_product(CAST(v.embedding AS DOUBLE[]), {0}.t) / (sqrt(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[]))) * sqrt(list_dot_product({0}.t, {0}.t)))"
 
 
-@catalog.query("two_pole_scores", f"SELECT v.vec_id, round({_C.format('a')} - {_C.format('b')}, 4) AS pole FROM embeddings v, {_THEME % 'label < 3'} a, {_THEME % 'label > 6'} b")
+@catalog.query("two_pole_scores", f"SELECT v.vec_id, round({_C.format('a')} - {_C.format('b')}, 4) + 0.0 AS pole FROM embeddings v, {_THEME % 'label < 3'} a, {_THEME % 'label > 6'} b")
 def two_pole_scores(spark: SparkSession, d: str) -> DataFrame:
     """Nearness to one theme less nearness to another, a theme being the mean direction of examples."""
     v = table(spark, d, "embeddings")
