@@ -31,7 +31,7 @@ NOTATIONS = {
 }
 LANGUAGES = tuple(NOTATIONS)
 _CODE = {n: k for k, names in NOTATIONS.items() for n in names}
-_CUT = re.compile(r"(?<=[.!?…])[\"'»”)]*\s+(?=[\"'«“(¿¡]*[^\W\d_a-zà-ÿ])|\n+|\s+[/|–—-]\s+|\t+|[•;]\s+")
+_CUT = re.compile(r"(?<=[.!?…])[\"'»”)]*\s+(?=[\"'«“(¿¡]*[^\W\d_a-zà-ÿ])|\n+|\s+[/|–—-]\s+|\s*(?:\*{2,}|={3,}|-{3,}|_{3,}|~{2,}|#{2,})\s*|\t+|[•;]\s+")
 _CODED = re.compile(r"\S*\d\S*")
 _WORD = re.compile(r"[^\W\d_]{2,}")
 
@@ -236,25 +236,26 @@ def softmax(a: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit_language_model(rows: DataFrame, text: list[str], label: str, rules: LangRules = LangRules()) -> LangModel:
-    """A model fitted on at most ``rules.sample`` rows with a label, drawn by hash of their texts.
+def fit_language_model(rows: DataFrame, text: list[str], label: str, key: list[str], rules: LangRules = LangRules()) -> LangModel:
+    """A model fitted on at most ``rules.sample`` rows with a label, drawn by hash of their keys.
 
-    Each cut of a row's texts is a training sentence with the row's label; of more than
+    Keys, not texts, decide the draw, so that no group of copies fills it; a sentence with
+    its label counts once. Each cut of a row's texts is a training sentence with the row's label; of more than
     ``rules.sentences`` an even draw is used.
     """
     columns = [F.col(f"`{c}`") for c in text]
-    labelled = rows.select(*[c.alias(f"t{i}") for i, c in enumerate(columns)], F.col(f"`{label}`").alias("l"))
-    labelled = labelled.where("l IS NOT NULL AND trim(l) NOT IN ('', 'und')").orderBy(F.xxhash64(*[f"t{i}" for i in range(len(text))])).limit(rules.sample)
-    sentences, y = [], []
+    drawn = F.xxhash64(*[F.col(f"`{k}`") for k in key])
+    labelled = rows.select(*[c.alias(f"t{i}") for i, c in enumerate(columns)], F.col(f"`{label}`").alias("l"), drawn.alias("h"))
+    labelled = labelled.where("l IS NOT NULL AND trim(l) NOT IN ('', 'und')").orderBy("h").limit(rules.sample)
+    said: dict[tuple[str, int], None] = {}
     for r in labelled.toLocalIterator():
         code = language_of_label(r["l"])
         if code is None:
             continue
         for i in range(len(text)):
             if r[f"t{i}"]:
-                mine = cuts(r[f"t{i}"])
-                sentences += mine
-                y += [LANGUAGES.index(code)] * len(mine)
+                said.update(dict.fromkeys((c, LANGUAGES.index(code)) for c in cuts(r[f"t{i}"])))
+    sentences, y = [s for s, _ in said], [c for _, c in said]
     model = LangModel(rules)
     if not sentences:
         return model

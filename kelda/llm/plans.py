@@ -34,7 +34,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Languages of the notice fields that are not wholly in the language of their label."""
     rows = table(spark, d, "notices", "reference_number", "amendment_number", "title", "description", "lang_label")
-    model = fit_language_model(rows, ["title", "description"], "lang_label")
+    model = fit_language_model(rows, ["title", "description"], "lang_label", ["reference_number", "amendment_number"])
     named = F.create_map(*[F.lit(x) for code, names in NOTATIONS.items() for n in names for x in (n, code)])
     label = F.try_element_at(named, F.trim(F.split(F.lower(F.trim("lang_label")), "[-_(]").getItem(0)))
     fields = label_languages(rows, ["title", "description"], model).select(
@@ -49,7 +49,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def _levels(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "documents", "doc_id", "text", "lang")
-    model = fit_language_model(documents, ["text"], "lang", LangRules(sample=1500))
+    model = fit_language_model(documents, ["text"], "lang", ["doc_id"], LangRules(sample=1500))
     return reading_levels(documents, table(spark, d, "level_labels", "doc_id", "level"), model)
 
 

@@ -72,7 +72,7 @@ def test_language_model_held_out(model):
 
 def test_labels_and_cuts():
     assert [language_of_label(x) for x in ("EN", "fr-AR", "español", "Deutsch", "und", "", None, "xx")] == ["en", "fr", "es", "de", None, None, None, None]
-    assert cuts("One two. Three four / five six\nRef. AR-1 2\n\n") == ["One two.", "Three four", "five six"] and cuts("") == []
+    assert cuts("One two. Three four / five six\nRef. AR-1 2\n\n") == ["One two.", "Three four", "five six"] and cuts("One two. *** trois quatre") == ["One two.", "trois quatre"] and cuts("") == []
 
 
 def test_segments(spark, model):
@@ -88,7 +88,22 @@ def test_segments(spark, model):
 
 def test_model_of_no_labels(spark):
     rows = spark.createDataFrame([("text here now", None), ("more text here", "und")], "t string, l string")
-    assert fit_language_model(rows, ["t"], "l").weights.any() == False  # noqa: E712
+    assert fit_language_model(rows, ["t"], "l", ["t"]).weights.any() == False  # noqa: E712
+
+
+def test_copies_do_not_fill_the_sample(spark):
+    """A third of all rows in another language and one text: the model still knows the others."""
+    rng = random.Random(11)
+    rows = [(i, SAID["en"][0], "en") for i in range(300)]
+    for i in range(600):
+        code = rng.choice(LANGUAGES)
+        w = rng.choice(SAID[code]).split()
+        at = rng.randrange(len(w) - 5)
+        rows.append((1000 + i, " ".join(w[at : at + 8]), code))
+    df = spark.createDataFrame(rows, "id int, t string, l string")
+    m = fit_language_model(df, ["t"], "l", ["id"], LangRules(sample=300, batch=16))
+    p = m.probabilities([SAID[c][0] for c in LANGUAGES])
+    assert p.argmax(1).tolist() == [0, 1, 2, 3]
 
 
 def packed(rows):
