@@ -8,7 +8,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from kelda.llm.bodies import BodyParser
+from kelda.llm.bodies import BodyParser, near_keys
 from kelda.llm.canonical import DeleteDictionary, MatchRules, NameMatcher, deletes, edits, map_to_list, weighted_distance
 from kelda.llm.linkage import BODY_PASSES, Comparison, LinkModel, LinkRules, body_comparisons, body_records, candidates, link
 from kelda.llm.variants import link_variants, readings, variant_pairs
@@ -163,3 +163,30 @@ def test_linkage_of_bodies(spark):
     assert candidates(c, p, [("c_exact", "p_exact")], "cid", "pid").count() >= 60
     with pytest.raises(ValueError):
         link(c, p, "cid", "pid", BODY_PASSES, [Comparison(str(i), F.lit(0), 10) for i in range(6)])
+
+
+def test_near_places_share_a_key():
+    rng = random.Random(9)
+    assert near_keys("zidekist") & near_keys("zofekist") and near_keys("a") & near_keys("b")
+    for n in [1, 2, 6, 7, 8, 9, 11, 12, 40, *range(61, 69), 90]:
+        for _ in range(40):
+            a = "".join(rng.choice("abc") if i % 7 else rng.choice("abc ") for i in range(n)).strip().ljust(n, "d")
+            b = list(a)
+            for _ in range(2 if n >= 8 else 1):
+                i, how = rng.randrange(len(b)), rng.randrange(3)
+                b[i : i + 1] = [rng.choice("xyz ")] if how == 0 else [b[i], "x"] if how == 1 else [] if len(b) > 1 else b
+            b = " ".join("".join(b).split())
+            if b:
+                assert near_keys(a) & near_keys(b), (a, b)
+    assert all(len(near_keys("".join(rng.choice("abcdefgh") for _ in range(n)))) <= 2200 for n in (64, 70, 5000))
+
+
+def test_two_edits_make_a_candidate(spark):
+    parser = BodyParser(MANDATES)
+    long = "".join(chr(97 + i * 7 % 26) for i in range(80))
+    rows = [("a", "Zidekistor Office for Fisheries", 1), ("b", "Merovandia Office for Fisheries", 2), ("c", f"{long} Office for Fisheries", 3)]
+    other = [(1, "Zofekistor Office for Fisheries"), (2, "Merowandya Office for Fisheries"), (3, f"{long[:30]}q{long[31:60]}q{long[61:]} Office for Fisheries")]
+    c = body_records(spark.createDataFrame([r[:2] for r in rows], "cid string, n string"), "cid", ["n"], parser, "c_")
+    p = body_records(spark.createDataFrame(other, "pid int, n string"), "pid", ["n"], parser, "p_")
+    out = link(c, p, "cid", "pid", BODY_PASSES, body_comparisons())
+    assert {(r.cid, r.pid, r.level_place) for r in out.collect()} == {("a", 1, 2), ("b", 2, 2), ("c", 3, 2)}
