@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
+from math import log
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -102,6 +105,192 @@ def hybrid(documents: DataFrame, doc_id: str, text: str, vectors: DataFrame, vec
     return fuse([words, near.withColumnRenamed(vec_id, doc_id)], doc_id).orderBy(F.col("fused").desc(), doc_id).limit(n)
 
 
+#: Queries of one pass, which are broadcast, and scores that are held at once.
+QUERIES, SCORES = 20_000, 2_000_000
+
+
+def _passes(queries: DataFrame, query_id: str) -> Iterator[list]:
+    """The rows of a set of queries, by hash of their id in passes that a broadcast can hold."""
+    n = max(1, -(-queries.count() // QUERIES))
+    for i in range(n):
+        yield queries.where(F.pmod(F.xxhash64(query_id), F.lit(n)) == i).collect()
+
+
+def _best(q: np.ndarray, ids: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of (query, id, score) the k best of each query; ties go to the smaller id."""
+    order = np.lexsort((ids, -s, q))
+    q, ids, s = q[order], ids[order], s[order]
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[keep], ids[keep], s[keep]
+
+
+def _top(k: int, n: int, blocks: Iterator[tuple[np.ndarray, int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of n queries over blocks (ids, first query, scores by row and query); -inf is no score."""
+    state, floor = None, np.full(n, -np.inf)
+    for ids, at, s in blocks:
+        least = floor[at : at + s.shape[1]]
+        if len(s) > k:
+            least = np.maximum(least, np.partition(s, len(s) - k, axis=0)[len(s) - k])
+        row, col = np.nonzero((s >= least) & (s > -np.inf))
+        new = (col + at, ids[row], s[row, col])
+        state = _best(*(new if state is None else [np.concatenate(x) for x in zip(state, new)]), k)
+        full = np.flatnonzero(np.bincount(state[0], minlength=n) == k)
+        floor[full] = state[2][np.searchsorted(state[0], full, "right") - 1]
+    return state if state is not None else (np.zeros(0, int),) * 3
+
+
+def _cosines(vectors: list, dims: dict[int, tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, queries, cosines to six places) in blocks; -inf where a vector is missing, damaged or zero."""
+    lengths = np.array([-1 if v is None else len(v) for v in vectors])
+    for dim, (which, unit) in dims.items():
+        rows = np.flatnonzero(lengths == dim)
+        if not len(rows):
+            continue
+        m = np.array([vectors[i] for i in rows], dtype=np.float64)
+        with np.errstate(all="ignore"):
+            m = m / np.sqrt((m * m).sum(axis=1, keepdims=True))
+        step = max(1, SCORES // len(rows))
+        for a in range(0, len(which), step):
+            s = np.round(m @ unit[a : a + step].T, 6) + 0.0
+            yield rows, which[a : a + step], np.where(np.isnan(s), -np.inf, s)
+
+
+def _by_length(vectors: list) -> tuple[list[int], dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Places of the vectors that have a direction, ordered by length, and per length (their new numbers, unit vectors)."""
+    fit = [(len(v), i) for i, v in enumerate(vectors) if v and None not in v and any(v)]
+    order = [i for _, i in sorted(fit)]
+    out = {}
+    for dim in sorted({n for n, _ in fit}):
+        which = np.array([at for at, i in enumerate(order) if len(vectors[i]) == dim])
+        m = np.array([vectors[order[at]] for at in which], dtype=np.float64)
+        out[dim] = (which, m / np.sqrt((m * m).sum(axis=1, keepdims=True)))
+    return order, out
+
+
+def _types(rows: DataFrame, column: str) -> str:
+    return rows.schema[column].dataType.simpleString()
+
+
+def _first(found: DataFrame, k: int, score: str, key: str) -> DataFrame:
+    """``rank`` within each query from 1 to k."""
+    order = Window.partitionBy("query_id").orderBy(F.col(score).desc(), key)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def nearest_each(vectors: DataFrame, vec_id: str, vector: str, queries: DataFrame, query_id: str, query_vector: str, k: int, exclude_self: bool = False) -> DataFrame:
+    """query_id, vec_id, similarity, score, rank: ``nearest`` for every query, each against all rows.
+
+    Rows are scored where they are, in blocks against the broadcast queries, and a task
+    hands on ``k`` rows a query. Ids are numbers, those of queries distinct. Vectors that
+    are missing, zero or of another length have no similarity. ``exclude_self`` leaves out
+    the row of the query's own id.
+    """
+    spark, found = vectors.sparkSession, []
+    for part in _passes(queries.select(query_id, query_vector), query_id):
+        order, dims = _by_length([r[1] for r in part])
+        shared = spark.sparkContext.broadcast((np.array([part[i][0] for i in order]), dims))
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            own, dims = shared.value
+
+            def blocks():
+                for b in batches:
+                    ids = b[vec_id].to_numpy()
+                    for rows, which, s in _cosines(b[vector].tolist(), dims):
+                        if exclude_self:
+                            s[ids[rows][:, None] == own[which][None, :]] = -np.inf
+                        yield ids[rows], which[0], s
+
+            q, ids, s = _top(k, len(own), blocks())
+            yield pd.DataFrame({"query_id": own[q] if len(q) else [], vec_id: ids, "similarity": s})
+
+        found.append(vectors.select(vec_id, vector).where(F.col(vec_id).isNotNull()).mapInPandas(run, f"query_id {_types(queries, query_id)}, {vec_id} {_types(vectors, vec_id)}, similarity double"))
+    best = _first(reduce(DataFrame.unionByName, found), k, "similarity", vec_id)
+    return best.select("query_id", vec_id, "similarity", F.round(1 / (2 - F.col("similarity")), 6).alias("score"), "rank")
+
+
+def max_pool_each(vectors: DataFrame, parent: str, vector: str, queries: DataFrame, query_id: str, query_vector: str, query_parent: str) -> DataFrame:
+    """query_id, parent, score: the best chunk of each parent for every query, the query's own parent left out whole.
+
+    A batch hands on one row per query and parent. Rows and queries without a parent are left out.
+    """
+    spark, found = vectors.sparkSession, []
+    for part in _passes(queries.select(query_id, query_vector, query_parent).where(F.col(query_parent).isNotNull()), query_id):
+        order, dims = _by_length([r[1] for r in part])
+        shared = spark.sparkContext.broadcast((np.array([part[i][0] for i in order]), np.array([part[i][2] for i in order]), dims))
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            ids, own, dims = shared.value
+            for b in batches:
+                parents = b[parent].to_numpy()
+                for rows, which, s in _cosines(b[vector].tolist(), dims):
+                    order = np.argsort(parents[rows], kind="stable")
+                    kinds, starts = np.unique(parents[rows][order], return_index=True)
+                    s = np.maximum.reduceat(s[order], starts, axis=0)
+                    s[kinds[:, None] == own[which][None, :]] = -np.inf
+                    row, col = np.nonzero(s > -np.inf)
+                    yield pd.DataFrame({"query_id": ids[which[col]], parent: kinds[row], "s": s[row, col]})
+
+        found.append(vectors.select(parent, vector).where(F.col(parent).isNotNull()).mapInPandas(run, f"query_id {_types(queries, query_id)}, {parent} {_types(vectors, parent)}, s double"))
+    pooled = reduce(DataFrame.unionByName, found).groupBy("query_id", parent).agg(F.max("s").alias("s"))
+    return pooled.select("query_id", parent, F.round(1 / (2 - F.col("s")), 6).alias("score"))
+
+
+def bm25_each(documents: DataFrame, doc_id: str, text: str, queries: DataFrame, query_id: str, query_text: str, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """query_id, doc_id, score, rank: ``bm25`` for every query, each against all documents.
+
+    One pass counts lengths and the documents of each term of the queries, another scores
+    documents where they are and hands on ``k`` a query and task. Ids are numbers.
+    """
+    spark, found = documents.sparkSession, []
+    n, mean = documents.agg(F.count("*"), F.avg(count_tokens(text))).first()
+    for part in _passes(queries.select(query_id, tokens(query_text).alias("t")), query_id):
+        own = np.array([r[0] for r in part])
+        said = Counter((t, i) for i, r in enumerate(part) for t in r["t"] or [])
+        terms: dict[str, list[tuple[int, int]]] = {}
+        for (t, i), m in said.items():
+            terms.setdefault(t, []).append((i, m))
+        if not terms:
+            continue
+        known = F.broadcast(spark.createDataFrame([(t,) for t in terms], "term string"))
+        held = documents.select(F.explode(F.array_distinct(tokens(text))).alias("term")).join(known, "term").groupBy("term").agg(F.count("*").alias("df")).collect()
+        weighed = {t: (np.array([i for i, _ in terms[t]]), log((n - df + 0.5) / (df + 0.5) + 1) * np.array([m for _, m in terms[t]], dtype=float)) for t, df in held}
+        shared = spark.sparkContext.broadcast((own, weighed))
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            own, weighed = shared.value
+
+            def blocks():
+                step = max(1, SCORES // len(own))
+                for batch in batches:
+                    for at in range(0, len(batch), step):
+                        some = batch.iloc[at : at + step]
+                        s = np.zeros((len(some), len(own)))
+                        for row, words in zip(s, some["t"]):
+                            if words is None:
+                                continue
+                            for t, tf in Counter(w for w in words if w in weighed).items():
+                                which, weight = weighed[t]
+                                row[which] += weight * (tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(words) / mean)))
+                        s = np.round(s, 6)
+                        yield some[doc_id].to_numpy(), 0, np.where(s > 0, s, -np.inf)
+
+            q, ids, s = _top(k, len(own), blocks())
+            yield pd.DataFrame({"query_id": own[q] if len(q) else [], doc_id: ids, "score": s})
+
+        found.append(documents.select(doc_id, tokens(text).alias("t")).mapInPandas(run, f"query_id {_types(queries, query_id)}, {doc_id} {_types(documents, doc_id)}, score double"))
+    if not found:
+        return spark.createDataFrame([], f"query_id {_types(queries, query_id)}, {doc_id} {_types(documents, doc_id)}, score double, rank int")
+    return _first(reduce(DataFrame.unionByName, found), k, "score", doc_id)
+
+
+def hybrid_each(words: DataFrame, near: DataFrame, key: str, n: int) -> DataFrame:
+    """query_id, key, fused, n_lists of the ``n`` best of every query, out of two ranked lists (query_id, key, rank) by reciprocal ranks."""
+    every = words.select("query_id", key, "rank").unionByName(near.select("query_id", key, "rank"))
+    fused = every.groupBy("query_id", key).agg(F.round(F.sum(1.0 / (60 + F.col("rank"))), 8).alias("fused"), F.count("*").alias("n_lists"))
+    return _first(fused, n, "fused", key).drop("rank")
+
+
 def split_chunks(title: str | None, text: str | None, budget: int = 988, overlap: int = 197, floor: int = 200) -> list[str]:
     """Chunks of a document, each with its title: paragraphs packed up to a budget, long ones cut at sentences, then hard.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kelda.functions.text import count_tokens
-from kelda.operators.retrieval import bm25, chunk, cosine, fuse, hybrid, max_pool, nearest, postings, ranked, theme, two_pole
+from kelda.operators.retrieval import bm25, bm25_each, chunk, cosine, fuse, hybrid, hybrid_each, max_pool, max_pool_each, nearest, nearest_each, postings, ranked, theme, two_pole
 from kelda.plans.registry import Catalog
 from kelda.sources.tables import table
 
@@ -141,3 +141,64 @@ def boilerplate_spread(spark: SparkSession, d: str) -> DataFrame:
 )
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     return hybrid(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", _with_query(spark, d), "vec_id", "embedding", "cloud hosting", F.col("q"), 10)
+
+
+# Sets of queries: the ids divisible by a hundred; a document asks with its opening.
+_ASKING = "SELECT vec_id, embedding, label FROM embeddings WHERE mod(vec_id, 100) = 0"
+_PAIRS = f"(SELECT q.vec_id AS query_id, v.vec_id, {_COS} AS similarity FROM embeddings v, ({_ASKING}) q %s)"
+
+
+def nearest_each_sql(k: int, where: str = "") -> str:
+    return f"SELECT query_id, vec_id, similarity, round(1 / (2 - similarity), 6) AS score FROM {_PAIRS % where} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) <= {k}"
+
+
+def bm25_each_sql(k: int) -> str:
+    asked = _TOKENS.replace("coalesce(text, '')", "left(coalesce(text, ''), 100)")
+    return f"""WITH w AS (SELECT doc_id, {_TOKENS} AS w FROM documents), s AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM w),
+    q AS (SELECT query_id, term, count(*) AS m FROM (SELECT doc_id AS query_id, unnest({asked}) AS term FROM documents WHERE doc_id % 100 = 0) GROUP BY ALL),
+    p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM w) GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+    r AS (SELECT query_id, doc_id, round(sum(m * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(w) / avgdl))), 6) AS score FROM q JOIN p USING (term) JOIN f USING (term) JOIN w USING (doc_id), s GROUP BY query_id, doc_id)
+    SELECT query_id, doc_id, score FROM r QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= {k}"""
+
+
+def _nearest_each(spark: SparkSession, d: str, k: int, exclude_self: bool = False) -> DataFrame:
+    v = table(spark, d, "embeddings")
+    return nearest_each(v, "vec_id", "embedding", v.where("vec_id % 100 = 0"), "vec_id", "embedding", k, exclude_self)
+
+
+def _bm25_each(spark: SparkSession, d: str, k: int) -> DataFrame:
+    rows = table(spark, d, "documents", "doc_id", "text")
+    return bm25_each(rows, "doc_id", "text", rows.where("doc_id % 100 = 0").select("doc_id", F.left("text", F.lit(100)).alias("asked")), "doc_id", "asked", k)
+
+
+@catalog.query("cosine_topk_each", nearest_each_sql(20))
+def cosine_topk_each(spark: SparkSession, d: str) -> DataFrame:
+    return _nearest_each(spark, d, 20).drop("rank")
+
+
+@catalog.query("similar_excluding_self_each", nearest_each_sql(10, "WHERE v.vec_id <> q.vec_id"))
+def similar_excluding_self_each(spark: SparkSession, d: str) -> DataFrame:
+    return _nearest_each(spark, d, 10, exclude_self=True).drop("rank")
+
+
+@catalog.query("chunk_max_pool_each", f"SELECT query_id, label, max(round(1 / (2 - similarity), 6)) AS score FROM (SELECT q.vec_id AS query_id, v.label, {_COS} AS similarity FROM embeddings v, ({_ASKING}) q WHERE v.label <> q.label) GROUP BY query_id, label")
+def chunk_max_pool_each(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "embeddings")
+    return max_pool_each(v, "label", "embedding", v.where("vec_id % 100 = 0"), "vec_id", "embedding", "label")
+
+
+@catalog.query("bm25_topk_each", bm25_each_sql(20))
+def bm25_topk_each(spark: SparkSession, d: str) -> DataFrame:
+    return _bm25_each(spark, d, 20).drop("rank")
+
+
+@catalog.query(
+    "hybrid_search_each",
+    f"""WITH a AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM ({bm25_each_sql(30)})),
+    b AS (SELECT query_id, vec_id AS doc_id, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS r FROM ({nearest_each_sql(30)})),
+    f AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + r)), 8) AS fused, count(*) AS n_lists FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY query_id, doc_id)
+    SELECT query_id, doc_id, fused, n_lists FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, doc_id) <= 10""",
+)
+def hybrid_search_each(spark: SparkSession, d: str) -> DataFrame:
+    near = _nearest_each(spark, d, 30).withColumnRenamed("vec_id", "doc_id")
+    return hybrid_each(_bm25_each(spark, d, 30), near, "doc_id", 10)

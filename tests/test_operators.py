@@ -137,6 +137,29 @@ def test_vectors(spark):
     assert {r.k: r.fused for r in retrieval.fuse([a, a.where("rank = 2")], "k").collect()} == {"x": round(1 / 61, 8), "y": round(2 / 62, 8)}
 
 
+def test_query_sets(spark, monkeypatch):
+    """Every query against all rows, over several passes and blocks, as one query at a time finds them."""
+    rows = [(i, [math.sin(i * j + 1.0) for j in range(1, 5)], i % 3) for i in range(60)] + [(60, [0.0] * 4, 1), (61, None, 1), (62, [1.0], 2), (63, [math.sin(j + 1.0) for j in range(1, 5)], None)]
+    v = spark.createDataFrame(rows, "id bigint, v array<double>, p int").repartition(3)
+    q = v.where("id % 20 = 0")
+    want = {i: [(r.id, r.similarity) for r in retrieval.nearest(v, "id", "v", F.array(*map(F.lit, rows[i][1])), 5).collect()] for i in (0, 20, 40)}
+    for passes, scores in ((20_000, 2_000_000), (1, 7)):
+        monkeypatch.setattr(retrieval, "QUERIES", passes)
+        monkeypatch.setattr(retrieval, "SCORES", scores)
+        got = {i: [] for i in want}
+        for r in retrieval.nearest_each(v, "id", "v", q, "id", "v", 5).orderBy("query_id", "rank").collect():
+            got[r.query_id].append((r.id, r.similarity))
+        assert got == want
+        assert all(r.id != r.query_id for r in retrieval.nearest_each(v, "id", "v", q, "id", "v", 5, exclude_self=True).collect())
+        pools = {(r.query_id, r.p) for r in retrieval.max_pool_each(v, "p", "v", q, "id", "v", "p").collect()}
+        assert pools == {(i, p) for i in want for p in range(3) if p != i % 3}
+        docs = spark.createDataFrame([(1, "red red fox"), (2, "blue fox"), (3, ""), (4, None), (5, "fox red")], "id bigint, t string").repartition(2)
+        asked = spark.createDataFrame([(7, "red Red"), (8, "fox blue"), (9, ""), (10, None)], "n bigint, t string")
+        got = {(r.query_id, r.id, r.score) for r in retrieval.bm25_each(docs, "id", "t", asked, "n", "t", 2).collect()}
+        assert got == {(n, r.id, r.score) for n, t in ((7, "red Red"), (8, "fox blue")) for r in retrieval.bm25(docs, "id", "t", t, 2).collect()}
+    assert retrieval.nearest_each(v, "id", "v", q.limit(0), "id", "v", 5).count() == 0
+
+
 def test_chunks():
     assert retrieval.split_chunks("", "") == [] and retrieval.split_chunks("T", None) == ["T"]
     text = "\n\n".join(f"Paragraph {i} says this and that." * 8 for i in range(30))
