@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from kelda.functions.dates import iso, readable_day
+from kelda.functions.dates import day_sql, iso, readable_day
 from kelda.operators.evaluate import availability_mask, compare_versions, confusion, discordant, frame_cells, histogram, lift, size_strata, split_half, threshold_curve
 from kelda.operators.sampling import bernoulli, hash_sample, per_outcome, round_robin
 from kelda.operators.sets import fingerprint, insert_absent, key_changes, nested, new_since, symmetric_difference
@@ -167,6 +167,19 @@ def masked(spark: SparkSession, d: str) -> DataFrame:
     return availability_mask(rows, [(readable_day("effective_date"), ["client_num"]), (readable_day("posted_date"), ["registrant_num"])], at).select("reg_id", "client_num", "registrant_num")
 
 
+@catalog.query(
+    "availability_mask_all",
+    f"""SELECT reg_id, CASE WHEN started <= DATE '2018-01-01' THEN client_num END AS client_num, CASE WHEN posted <= DATE '2018-01-01' THEN registrant_num END AS registrant_num
+    FROM (SELECT reg_id, {day_sql('effective_date')} AS started, {day_sql('posted_date')} AS posted, client_num, registrant_num FROM (SELECT DISTINCT reg_id, effective_date, posted_date, client_num, registrant_num FROM registration_versions))
+    WHERE started <= DATE '2018-01-01' OR posted <= DATE '2018-01-01'""",
+)
+def masked_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same over every row, whatever notation its days are in."""
+    rows = table(spark, d, "registration_versions", "reg_id", "effective_date", "posted_date", "client_num", "registrant_num").distinct()
+    at = F.lit("2018-01-01").cast("date")
+    return availability_mask(rows, [(readable_day("effective_date"), ["client_num"]), (readable_day("posted_date"), ["registrant_num"])], at).select("reg_id", "client_num", "registrant_num")
+
+
 @catalog.query("hash_sample", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY sha256(CAST(o_orderkey AS VARCHAR) || ':42'), o_orderkey LIMIT 200")
 def sample(spark: SparkSession, d: str) -> DataFrame:
     return hash_sample(table(spark, d, "orders", "o_orderkey", "o_totalprice"), "o_orderkey", 200, 42)

@@ -48,3 +48,11 @@ def test_entry_and_names(spark):
 
 def test_chunks_run(spark, data):
     assert QUERIES["document_chunks"](spark, data).count() > 0
+
+
+def test_mask_reads_every_notation(spark, data):
+    """Versions whose days are not in ISO form are masked like others, not dropped."""
+    rows = spark.read.parquet(f"{data}/registration_versions.parquet")
+    odd = rows.where("NOT effective_date RLIKE '^[0-9]{4}-[0-9]{2}-[0-9]{2}$' AND posted_date <= '2018-01-01'")
+    ids = {r.reg_id for r in odd.collect()}
+    assert ids and ids <= {r.reg_id for r in QUERIES["availability_mask_all"](spark, data).collect()}
