@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from kelda.llm.bodies import BodyParser
 from kelda.llm.canonical import MatchRules, NameMatcher, map_to_list
-from kelda.llm.langid import NOTATIONS, LangRules, fit_language_model, label_languages
+from kelda.llm.langid import NOTATIONS, LangRules, fit_language_model, label_languages, label_segments
 from kelda.llm.leakage import find_leaks
 from kelda.llm.level import reading_levels
 from kelda.llm.linkage import BODY_PASSES, body_comparisons, body_records, link
@@ -30,6 +30,20 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return find_leaks(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "text"))
 
 
+@catalog.query("p5_segments")
+def p5_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every segment of every notice field with its language and confidence, numbered from 1."""
+    rows = table(spark, d, "notices", "reference_number", "amendment_number", "title", "description", "lang_label")
+    model = fit_language_model(rows, ["title", "description"], "lang_label", ["reference_number", "amendment_number"])
+    fields = label_segments(rows, ["title", "description"], model).select(
+        "reference_number",
+        "amendment_number",
+        F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"{c}_segments").alias("segments")) for c in ("title", "description")])).alias("f"),
+    )
+    each = fields.select("reference_number", "amendment_number", "f.field", F.posexplode("f.segments").alias("n", "s"))
+    return each.select("reference_number", "amendment_number", "field", (F.col("n") + 1).alias("segment"), "s.lang", "s.text", "s.confidence").distinct()
+
+
 @catalog.query("p5_found")
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Languages of the notice fields that are not wholly in the language of their label."""

@@ -280,3 +280,19 @@ def test_coverage_rank_is_exact(spark):
         for d, t in docs:
             r = sorted(rank[w] for w in t.rstrip(".").split())
             assert got[d] == r[-(-8 * len(r) // 10) - 1]
+
+
+def test_segments_of_all_notices(spark, data):
+    """Every lettered field has segments, numbered without a gap, in the languages that p5_found reports."""
+    from kelda.llm.plans import catalog
+
+    rows = catalog.queries["p5_segments"](spark, data).collect()
+    assert rows and all(0 < r.confidence <= 1 and r.text and r.lang in LANGUAGES for r in rows)
+    said = {(r.reference_number, r.amendment_number, r.field, r.lang) for r in rows}
+    assert {tuple(r) for r in catalog.queries["p5_found"](spark, data).select("reference_number", "amendment_number", "field", "lang").collect()} <= said
+    places = {}
+    for r in rows:
+        places.setdefault((r.reference_number, r.amendment_number, r.field), set()).add(r.segment)
+    assert all(x == set(range(1, len(x) + 1)) for x in places.values())
+    notices = spark.read.parquet(f"{data}/notices.parquet").where("title RLIKE '[a-z]{4,} [a-z]{4,}'").collect()
+    assert notices and {(r.reference_number, r.amendment_number, "title") for r in notices} <= set(places)
