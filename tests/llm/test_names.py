@@ -190,3 +190,16 @@ def test_two_edits_make_a_candidate(spark):
     p = body_records(spark.createDataFrame(other, "pid int, n string"), "pid", ["n"], parser, "p_")
     out = link(c, p, "cid", "pid", BODY_PASSES, body_comparisons())
     assert {(r.cid, r.pid, r.level_place) for r in out.collect()} == {("a", 1, 2), ("b", 2, 2), ("c", 3, 2)}
+
+
+def test_confidence_does_not_depend_on_size(spark, monkeypatch):
+    """All records are others by chance, and together they count as much in a large table as in a small one."""
+    ratios = []
+    fit = LinkModel.fit
+    monkeypatch.setattr(LinkModel, "fit", lambda self, patterns, counts, others: (ratios.append((others.sum() - 0.0) / counts.sum()), fit(self, patterns, counts, others))[1])
+    for n in (400, 6000):
+        left = spark.range(n).selectExpr("id AS l", "array(string(id)) AS lk", "id % 7 AS lx")
+        right = spark.range(n).selectExpr("id AS r", "array(string(id)) AS rk", "id % 7 AS rx")
+        out = link(left, right, "l", "r", [("lk", "rk")], [Comparison("x", F.when(F.col("lx") == F.col("rx"), 1).otherwise(0), 2)])
+        assert out.count() == n
+    assert ratios == pytest.approx([4.0, 4.0])
