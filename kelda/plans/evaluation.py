@@ -327,3 +327,13 @@ def deciles(spark: SparkSession, d: str) -> DataFrame:
 )
 def halves(spark: SparkSession, d: str) -> DataFrame:
     return split_half(_scored(spark, d), "o_orderkey", "mass", "truth", 0.6, 20)
+
+
+@catalog.query(
+    "split_half_fifty",
+    f"""WITH s AS (SELECT o_orderkey, mass >= 0.6 AS a, truth AS t, CAST(unnest(range(0, 50)) AS INT) AS split FROM {_SCORED}),
+    h AS (SELECT * FROM s WHERE left(md5(CAST(o_orderkey AS VARCHAR) || ':' || CAST(split AS VARCHAR) || ':1'), 1) < '8')
+    SELECT split, round(count(*) FILTER (WHERE a AND t) / nullif(count(*) FILTER (WHERE t), 0), 6) AS recall, round(count(*) FILTER (WHERE a AND t) / nullif(count(*) FILTER (WHERE a), 0), 6) AS precision FROM h GROUP BY split""",
+)
+def fifty_halves(spark: SparkSession, d: str) -> DataFrame:
+    return split_half(_scored(spark, d), "o_orderkey", "mass", "truth", 0.6, 50)

@@ -56,3 +56,7 @@ def test_mask_reads_every_notation(spark, data):
     odd = rows.where("NOT effective_date RLIKE '^[0-9]{4}-[0-9]{2}-[0-9]{2}$' AND posted_date <= '2018-01-01'")
     ids = {r.reg_id for r in odd.collect()}
     assert ids and ids <= {r.reg_id for r in QUERIES["availability_mask_all"](spark, data).collect()}
+
+
+def test_fifty_splits(spark, data):
+    assert QUERIES["split_half_fifty"](spark, data).count() == 50
