@@ -15,7 +15,7 @@ import numpy as np
 
 #: Codes of folded characters: 0 separates, 1-26 letters, 27-36 digits, others from 37 on.
 SEPARATOR = 0
-_TAG = re.compile(r"<[^<>]{1,200}>")
+_TAG = re.compile(r"</?[A-Za-z!][^<>]*>")
 _DAMAGED = re.compile("[ÂÃâ][\u0080-ÿŒœŠšŸŽžƒˆ˜–-™]{1,2}")
 _ENTITY = re.compile(r"&(?:amp|lt|gt|quot|nbsp|#39|apos);")
 _ENTITIES = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&nbsp;": " ", "&#39;": "'", "&apos;": "'"}

@@ -20,7 +20,7 @@ from kelda.llm.tokenizer import count_tokens, encoder
 
 def test_codes():
     assert repair("MinistÃ¨re des PÃªches") == "Ministère des Pêches" and repair("Â") == "Â"
-    assert plain("a<b>c</b> &amp; d") == "a c  & d" and fold("ÉÀ ß") == "ea ß"
+    assert plain("a<b>c</b> &amp; d") == "a c  & d" and plain("a < b > c<a href='" + "x" * 900 + "'>d") == "a < b > c d" and fold("ÉÀ ß") == "ea ß"
     texts = ["Ça  va, 2 fois", "", "ca VA", "日本 x"]
     points, begin = code_points(texts)
     h, s, n = word_hashes(codes_of(points))
@@ -222,7 +222,7 @@ def test_walk_recall():
     """Windows of an item with two of twenty words changed meet it in some repetition."""
     rng = random.Random(8)
     items = [(i, item(rng, i)) for i in range(30)]
-    index = ItemIndex(items, LeakRules())
+    index = ItemIndex(items, LeakRules(), np.zeros(0, np.uint64))
     found = 0
     for i, it in items:
         w = it.split("\n")[1].split()
@@ -234,6 +234,41 @@ def test_walk_recall():
     assert found >= 29
 
 
+def test_shared_instructions_and_copies(spark):
+    """An instruction of many items is none's; copies and variants of an item are all found; passes change nothing."""
+    rng = random.Random(12)
+    instruction = " ".join(f"instruct{i}" for i in range(30))
+    items = [(i, f"{instruction}\n{item(rng, i).splitlines()[1]}") for i in range(8)]
+    docs = [(0, f"some words {instruction} and others"), (1, f"some words {items[2][1].splitlines()[1]} and others")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    for per in (10_000, 2):
+        its = spark.createDataFrame(items, "item_id long, text string")
+        assert {tuple(r) for r in find_leaks(frame, its, rules=LeakRules(items_per_pass=per)).collect()} == {(1, 2)}
+    copies = [(100 * c + i, t if c < 3 else t.replace("depot", "store")) for c in range(5) for i, t in items]
+    for per in (10_000, 7):
+        got = {tuple(r) for r in find_leaks(frame, spark.createDataFrame(copies, "item_id long, text string"), rules=LeakRules(items_per_pass=per)).collect()}
+        assert got == {(1, 100 * c + 2) for c in range(5)}
+
+
+@pytest.mark.parametrize("items", [60, 600])
+@pytest.mark.parametrize("share", [0.0, 0.0625, 0.125])
+def test_leak_recall(spark, items, share):
+    """Against planted passages of a small vocabulary that all items have in common, whatever their number."""
+    rng = random.Random(13)
+    words = [rng.choice("bcdfg") + rng.choice("aeiou") + rng.choice("klmnp") + rng.choice("aeiou") for _ in range(400)]
+    texts = [[rng.choice(words) for _ in range(rng.randrange(30, 50))] for _ in range(items)]
+    docs, planted = [], set()
+    for d in range(120):
+        i = rng.randrange(items)
+        body = damaged(rng, texts[i], share)
+        docs.append((d, " ".join([rng.choice(words) for _ in range(40)] + body + [rng.choice(words) for _ in range(40)])))
+        planted.add((d, i))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    its = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "item_id long, text string")
+    got = {tuple(r) for r in find_leaks(frame, its).collect()}
+    assert got <= planted and len(got) >= 0.97 * len(planted)
+
+
 PLAIN = ["We need {n} boats.", "The shed is dry.", "Call us on Monday.", "It was cold.", "No one was hurt here."]
 HARD = ["Notwithstanding the foregoing methodological qualifications, contemporaneous documentation constitutes an indispensable precondition for equitable apportionment of liability."]
 
