@@ -86,11 +86,16 @@ def _lower() -> np.ndarray:
     return _LOWER
 
 
+def lower_points(points: np.ndarray) -> np.ndarray:
+    """Lower case of letters, 32 for what is none or lies beyond U+3000."""
+    return _lower()[np.where(points < 0x3000, points, 32)]
+
+
 def ngrams(texts: list[str], rules: LangRules) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of every character n-gram of the texts, and the text it is of, text by text."""
     joined = " " + "  ".join(texts) + " "
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    c = _lower()[np.where(points < 0x3000, points, 32)]
+    c = lower_points(points)
     ends = np.cumsum(np.fromiter((len(t) + 2 for t in texts), dtype=np.int64, count=len(texts)))
     of = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))[: len(c)]
     c = c[: len(of)].astype(np.uint32)

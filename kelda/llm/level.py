@@ -10,7 +10,7 @@
    sentences and coverage rank.
 
 Languages come from the character model of ``langid``, whose score is a sum over n-grams
-and so is tabulated once per word of the vocabulary.
+and so is computed once per different word of the texts at hand, however rare the word.
 """
 
 from __future__ import annotations
@@ -24,18 +24,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from kelda.llm.codes import code_points, codes_of, pieces, plain, word_hashes
-from kelda.llm.langid import LANGUAGES, LangModel, ngrams
+from kelda.llm.langid import LANGUAGES, LangModel, lower_points, ngrams
 from kelda.session import cut_lineage
 
 
 @dataclass(frozen=True)
 class LevelRules:
     """share: of a document's tokens that the vocabulary must cover. vocabulary: words whose
-    rank is sent to the executors (16 bytes a word and the language scores); documents that
+    rank is sent to the executors (12 bytes a word); documents that
     need more are ranked by a join, exactly. lengths, word_lengths: edges of the sentence
     grid. smooth: rated sentences added to each cell. foreign: probability from which a
     sentence of ``foreign_words`` words is in another language than its document.
-    group: characters of text in memory at once."""
+    group: characters of text in memory at once. histogram: most different word counts that are
+    broadcast; more are joined by a shuffle."""
 
     share: float = 0.8
     vocabulary: int = 1 << 16
@@ -46,6 +47,7 @@ class LevelRules:
     foreign: float = 0.9
     foreign_words: int = 4
     group: int = 2_000_000
+    histogram: int = 2_000_000
 
 
 def _texts(texts: list[str | None]) -> list[str]:
@@ -54,17 +56,30 @@ def _texts(texts: list[str | None]) -> list[str]:
 
 @dataclass
 class Tokens:
-    """The words of some texts: text, hash, length; and the run of each, with whether a full stop ends it."""
+    """The words of some texts: text, hash, length; and the run of each, with whether a full stop ends it.
+
+    ``spelling`` is a hash that tells accents apart; ``source`` holds what ``spell`` reads."""
 
     text: np.ndarray
     hash: np.ndarray
     length: np.ndarray
     run: np.ndarray
     ended: np.ndarray
-    example: list[str] | None = None
+    spelling: np.ndarray
+    source: list[tuple[str, np.ndarray, np.ndarray]]
+
+    def spell(self, which: np.ndarray) -> list[str]:
+        """The words at the given places, lower case and whole."""
+        offsets = np.cumsum([0] + [len(s) for _, s, _ in self.source])
+        out = []
+        for i, k in zip(which.tolist(), (np.searchsorted(offsets, which, "right") - 1).tolist()):
+            joined, s, n = self.source[k]
+            i -= int(offsets[k])
+            out.append(joined[s[i] : s[i] + n[i]].lower())
+        return out
 
 
-def tokens(texts: list[str], rules: LevelRules, with_words: bool = False) -> Iterator[tuple[int, int, Tokens]]:
+def tokens(texts: list[str], rules: LevelRules, spelled: bool = False) -> Iterator[tuple[int, int, Tokens]]:
     """Tokens of consecutive texts, a group at a time: first text, one past the last, their tokens.
 
     A text longer than a group is read in pieces; only its tokens are held together.
@@ -75,12 +90,13 @@ def tokens(texts: list[str], rules: LevelRules, with_words: bool = False) -> Ite
         while to < len(texts) and (to == at or size + len(texts[to]) <= rules.group):
             size += len(texts[to])
             to += 1
-        parts, runs = [], 0
+        parts, source, runs = [], [], 0
         for which, held in pieces(texts[at:to], max(rules.group, 1)):
             points, begin = code_points(held)
             codes = codes_of(points)
             h, s, n = word_hashes(codes)
             letters = (codes[s] <= 26) | (codes[s] > 36) if len(s) else np.zeros(0, bool)
+            spelling = word_hashes(np.where(codes > 0, lower_points(points) + 1, 0))[0][letters] if spelled else np.zeros(0, np.uint64)
             h, s, n = h[letters], s[letters], n[letters]
             stop = (points == 46) | (points == 33) | (points == 63) | (points == 0x2026)
             space = (points == 32) | (points == 10) | (points == 9) | (points == 13)
@@ -91,46 +107,34 @@ def tokens(texts: list[str], rules: LevelRules, with_words: bool = False) -> Ite
             final = np.concatenate([np.ones(len(ends), bool), np.zeros(len(lines), bool)])[order]
             run = np.searchsorted(edges[order], s)
             piece = np.searchsorted(begin, s, "right") - 1
-            words = None
-            if with_words:
-                joined = "\n".join(held)
-                words = np.array([s, n])
-                parts.append((np.array(which)[piece] if len(piece) else piece, h, n, run + runs, final[run] if len(run) else np.zeros(0, bool), joined, words))
-            else:
-                parts.append((np.array(which)[piece] if len(piece) else piece, h, n, run + runs, final[run] if len(run) else np.zeros(0, bool)))
+            parts.append((np.array(which)[piece] if len(piece) else piece, h, n, run + runs, final[run] if len(run) else np.zeros(0, bool), spelling))
+            if spelled:
+                source.append(("\n".join(held), s, n))
             runs += len(edges) + 1
-        cat = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(5)]
-        t = Tokens(*cat)
-        if with_words:
-            first = np.unique(t.hash, return_index=True)[1]
-            offsets = np.cumsum([0] + [len(p[1]) for p in parts])
-            spelled = []
-            for i in first:
-                k = int(np.searchsorted(offsets, i, "right")) - 1
-                s, n = parts[k][6][:, i - offsets[k]]
-                spelled.append(parts[k][5][s : s + n].lower()[:40])
-            t.example = spelled
-        yield at, to, t
+        kinds = (np.int64, np.uint64, np.int64, np.int64, bool, np.uint64)
+        yield at, to, Tokens(*[np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, kinds[i]) for i in range(6)], source)
         at = to
 
 
-def word_ranks(documents: DataFrame, text: str, rules: LevelRules) -> DataFrame:
+def word_ranks(documents: DataFrame, text: str, rules: LevelRules, spelled: bool = True) -> DataFrame:
     """h, word, n, rank, last: every word of the corpus, by frequency; rank and last bound the words of one count.
 
     Tasks count their own words first and send each once; ranks come from the histogram of
-    counts, of which there are no more than the square root of twice the tokens.
+    counts, of which there are no more than the square root of twice the tokens. Unless
+    ``spelled``, there is no column ``word``.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(h: np.ndarray, n: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64()), pa.array(list(w), pa.string())], names=["h", "n", "word"])
+            columns = {"h": pa.array(h.view(np.int64)), "n": pa.array(n, pa.int64())} | ({"word": pa.array(list(w), pa.string())} if spelled else {})
+            return pa.RecordBatch.from_pydict(columns)
 
         held: list[tuple] = []
         size = 0
         for batch in batches:
-            for _, _, t in tokens(_texts(batch.column(0).to_pylist()), rules, with_words=True):
-                h, n = np.unique(t.hash, return_counts=True)
-                held.append((h, n, np.array(t.example, dtype=object)))
+            for _, _, t in tokens(_texts(batch.column(0).to_pylist()), rules, spelled):
+                h, first, n = np.unique(t.hash, return_index=True, return_counts=True)
+                held.append((h, n, np.array(t.spell(first) if spelled else [None] * len(h), dtype=object)))
                 size += len(h)
                 if size > 500_000:
                     held = [_merge(held)]
@@ -141,12 +145,14 @@ def word_ranks(documents: DataFrame, text: str, rules: LevelRules) -> DataFrame:
         if held:
             yield out(*_merge(held))
 
-    counts = documents.select(F.col(f"`{text}`")).where(F.col(f"`{text}`").isNotNull()).mapInArrow(count, "h long, n long, word string")
-    words = counts.groupBy("h").agg(F.sum("n").alias("n"), F.min("word").alias("word"))
-    words = cut_lineage(words)
+    counts = documents.select(F.col(f"`{text}`")).where(F.col(f"`{text}`").isNotNull()).mapInArrow(count, "h long, n long" + (", word string" if spelled else ""))
+    word = [F.min("word").alias("word")] if spelled else []
+    words = cut_lineage(counts.groupBy("h").agg(F.sum("n").alias("n"), *word))
     steps = words.groupBy("n").agg(F.count("*").alias("k"))
-    steps = steps.withColumn("last", F.sum("k").over(Window.orderBy(F.col("n").desc())))
-    return words.join(steps.select("n", "last", (F.col("last") - F.col("k") + 1).alias("rank")), "n").select("h", "word", "n", "rank", "last")
+    steps = cut_lineage(steps.withColumn("last", F.sum("k").over(Window.orderBy(F.col("n").desc()))).select("n", "last", (F.col("last") - F.col("k") + 1).alias("rank")))
+    # A count may be that of half of all words, so the small side goes to them.
+    small = F.broadcast(steps) if steps.count() <= rules.histogram else steps
+    return words.join(small, "n").select("h", *(["word"] if spelled else []), "n", "rank", "last")
 
 
 def _merge(held: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,24 +163,16 @@ def _merge(held: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Vocabulary:
-    """The most frequent words: hashes, ranks, and what each adds to a text's language score."""
+    """Hashes and ranks of the most frequent words, and the language model."""
 
     def __init__(self, ranked: DataFrame, model: LangModel, rules: LevelRules) -> None:
-        rows = ranked.where(F.col("last") <= rules.vocabulary).select("h", "rank", "word").toPandas()
+        rows = ranked.where(F.col("last") <= rules.vocabulary).select("h", "rank").toPandas()
         h = rows["h"].to_numpy().astype(np.int64).view(np.uint64)
         order = np.argsort(h)
         self.hashes = h[order]
         self.ranks = rows["rank"].to_numpy()[order].astype(np.int32)
         self.beyond = np.int32(np.iinfo(np.int32).max)
-        words = [rows["word"].iloc[i] or "" for i in order]
-        self.scores = np.zeros((len(words) + 1, len(model.languages)), np.float32)
-        self.grams = np.zeros(len(words) + 1, np.float32)
-        if words:
-            x, o = ngrams(words, model.rules)
-            for c in range(len(model.languages)):
-                self.scores[:-1, c] = np.bincount(o, model.weights[x, c], len(words))
-            self.grams[:-1] = np.bincount(o, minlength=len(words))
-        self.bias, self.temperature = model.bias, model.temperature
+        self.model = model
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Position of each word, the last one for words beyond the vocabulary."""
@@ -183,6 +181,18 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         return np.where(self.hashes[at] == h, at, len(self.hashes))
 
+    def language(self, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which different spelling each token is, and what each adds to a score and to its n-grams."""
+        _, first, which = np.unique(t.spelling, return_index=True, return_inverse=True)
+        words = t.spell(first)
+        scores = np.zeros((len(words), len(self.model.languages)), np.float32)
+        if not words:
+            return which, scores, np.zeros(0, np.float32)
+        x, o = ngrams(words, self.model.rules)
+        for c in range(scores.shape[1]):
+            scores[:, c] = np.bincount(o, self.model.weights[x, c], len(words))
+        return which, scores, np.bincount(o, minlength=len(words)).astype(np.float32)
+
 
 _FEATURES = "id {kind}, lang string, wholly boolean, tokens long, sentences long, coverage long, need long, cells array<struct<cell:int,n:int>>, tail array<struct<h:long,n:int>>"
 
@@ -203,8 +213,9 @@ def features(documents: DataFrame, doc_id: str, text: str, vocabulary: Vocabular
         names = np.array([*LANGUAGES], dtype=object)
         for batch in batches:
             ids, texts = batch.column(0), _texts(batch.column(1).to_pylist())
-            for a, b, t in tokens(texts, rules):
+            for a, b, t in tokens(texts, rules, spelled=True):
                 k = b - a
+                word, scores, size = v.language(t)
                 at = v.find(t.hash)
                 n = np.bincount(t.text, minlength=k)
                 begin = np.concatenate([[0], np.cumsum(n)])
@@ -220,14 +231,14 @@ def features(documents: DataFrame, doc_id: str, text: str, vocabulary: Vocabular
                     first = np.flatnonzero(np.diff(t.run, prepend=-1) != 0)
                     words = np.diff(np.append(first, len(t.run)))
                     mean = np.add.reduceat(t.length, first) / words
-                    score = np.add.reduceat(v.scores[at], first, axis=0)
-                    grams = np.add.reduceat(v.grams[at], first)
+                    score = np.add.reduceat(scores[word], first, axis=0)
+                    grams = np.add.reduceat(size[word], first)
                     of, ended = t.text[first], t.ended[first]
                 else:
                     words = mean = grams = of = np.zeros(0, np.int64)
                     score, ended = np.zeros((0, len(names))), np.zeros(0, bool)
-                logit = score / np.sqrt(np.maximum(grams, 1))[:, None] + v.bias
-                e = np.exp((logit - logit.max(1, keepdims=True)) / v.temperature) if len(logit) else logit
+                logit = score / np.sqrt(np.maximum(grams, 1))[:, None] + v.model.bias
+                e = np.exp((logit - logit.max(1, keepdims=True)) / v.model.temperature) if len(logit) else logit
                 p = e / np.maximum(e.sum(1, keepdims=True), 1e-30)
                 weight = np.where(ended, words, 0)
                 share = np.stack([np.bincount(of, p[:, c] * weight, k) for c in range(len(names))], 1) if len(of) else np.zeros((k, len(names)))
@@ -278,7 +289,7 @@ def _exact_coverage(measured: DataFrame, ranked: DataFrame) -> DataFrame:
 
 def measure(documents: DataFrame, doc_id: str, text: str, model: LangModel, rules: LevelRules = LevelRules()) -> DataFrame:
     """id, lang, wholly, tokens, sentences, coverage, cells and a row number, one row per row of documents."""
-    ranked = word_ranks(documents, text, rules)
+    ranked = word_ranks(documents, text, rules, spelled=False)
     vocabulary = Vocabulary(ranked, model, rules)
     measured = features(documents, doc_id, text, vocabulary, rules).withColumn("row", F.monotonically_increasing_id())
     return _exact_coverage(cut_lineage(measured), ranked)

@@ -317,6 +317,15 @@ def test_coverage_rank_is_exact(spark):
             assert got[d] == r[-(-8 * len(r) // 10) - 1]
 
 
+def test_language_does_not_depend_on_the_vocabulary(spark, model):
+    """Words beyond the broadcast vocabulary are judged by all of their letters, like others."""
+    docs = [(i, f"{(SAID[c][0] + '. ').capitalize() * 2}{SAID[c][1].capitalize()}.") for i, c in enumerate(LANGUAGES)]
+    docs += [(10, f"{SAID['en'][0]}. {SAID['fr'][0]}. {SAID['en'][1]}."), (11, "Werkstoffprüfungsverfahrensbeschreibungsanforderungen müssen schriftlich eingereicht werden. " * 2)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    seen = [{r["id"]: (r.lang, r.wholly) for r in measure(frame, "doc_id", "text", model, LevelRules(vocabulary=size)).collect()} for size in (1 << 16, 10, 0)]
+    assert seen[0] == seen[1] == seen[2] and all(seen[0][i] == (c, True) for i, c in enumerate(LANGUAGES)) and not seen[0][10][1]
+
+
 def test_segments_of_all_notices(spark, data):
     """Every lettered field has segments, numbered without a gap, in the languages that p5_found reports."""
     from kelda.llm.plans import catalog
