@@ -2,9 +2,10 @@
 
 A multinomial logistic regression on hashed character n-grams, weighted by TF-IDF, fitted
 with follow-the-regularised-leader (FTRL-proximal) under an elastic-net penalty and
-calibrated with a temperature on held-out rows. Labels may be wrong: after a first fit
-every training sentence whose label the model contradicts with confidence is relabelled,
-and the model is fitted again.
+calibrated with a temperature and a share of noise on held-out rows with the labels they came with. Labels may
+be wrong: after a first fit every training sentence whose label the model contradicts with
+confidence is relabelled, and the model is fitted again; held-out rows never are, so a
+confidence says how often a label as given agrees.
 
 A text is cut at sentence ends, line ends and separators; each cut gets a distribution
 over languages, and a Viterbi pass joins cuts into segments.
@@ -13,6 +14,7 @@ over languages, and a Viterbi pass joins cuts into segments.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from kelda.llm.codes import fold, plain
+from kelda.llm.codes import code_points, fold, plain
 
 #: Usual notations of the languages, lower case; a region after '-' or '_' is dropped first.
 NOTATIONS = {
@@ -33,6 +35,7 @@ LANGUAGES = tuple(NOTATIONS)
 _CODE = {n: k for k, names in NOTATIONS.items() for n in names}
 _CUT = re.compile(r"(?<=[.!?…])[\"'»”)]*\s+(?=[\"'«“(¿¡]*[^\W\d_a-zà-ÿ])|\n+|\s+[/|–—-]\s+|\s*(?:\*{2,}|={3,}|-{3,}|_{3,}|~{2,}|#{2,})\s*|\t+|[•;]\s+")
 _CODED = re.compile(r"\S*\d\S*")
+_DIGIT = re.compile(r"\d")
 _WORD = re.compile(r"[^\W\d_]{2,}")
 
 
@@ -45,7 +48,7 @@ def language_of_label(label: str | None) -> str | None:
 
 def cuts(text: str) -> list[str]:
     """The sentences and phrases of a text without its markup; one needs two words that hold no digit."""
-    return [c.strip() for c in _CUT.split(plain(text)) if c and len(_WORD.findall(_CODED.sub(" ", c))) >= 2]
+    return [c.strip() for c in _CUT.split(plain(text)) if c and len(_WORD.findall(_CODED.sub(" ", c) if _DIGIT.search(c) else c)) >= 2]
 
 
 @dataclass(frozen=True)
@@ -121,13 +124,16 @@ def ngrams(texts: list[str], rules: LangRules) -> tuple[np.ndarray, np.ndarray]:
 
 
 class LangModel:
-    """Weights (idf folded in), bias and temperature."""
+    """Weights (idf folded in), bias and two temperatures: ``temperature`` of confidences and
+    ``noise``, the share of labels that say nothing, fitted to labels as given; ``sharpness``
+    of the evidence by which cuts are joined, fitted to labels put right."""
 
     def __init__(self, rules: LangRules, languages: tuple[str, ...] = LANGUAGES) -> None:
         self.rules, self.languages = rules, languages
         self.weights = np.zeros((rules.buckets, len(languages)), np.float32)
         self.bias = np.zeros(len(languages), np.float32)
-        self.temperature = 1.0
+        self.temperature = self.sharpness = 1.0
+        self.noise = 0.0
 
     def logits(self, texts: list[str]) -> np.ndarray:
         if not texts:
@@ -141,13 +147,22 @@ class LangModel:
         return total + self.bias
 
     def probabilities(self, texts: list[str]) -> np.ndarray:
-        return softmax(self.logits(texts) / self.temperature)
+        return self._calibrated(self.logits(texts))
 
-    def fit(self, texts: list[str], y: np.ndarray) -> LangModel:
+    def _calibrated(self, raw: np.ndarray) -> np.ndarray:
+        return (1 - self.noise) * softmax(raw / self.temperature) + self.noise / len(self.languages)
+
+    def fit(self, texts: list[str], y: np.ndarray, rows: np.ndarray | None = None, times: np.ndarray | None = None) -> LangModel:
+        """``rows``: the row each text is of; a row is held out whole, with its copies without accents.
+        ``times``: how often a text occurs with its label, which counts where confidences are calibrated."""
         rules, k = self.rules, len(self.languages)
         rng = np.random.default_rng(rules.seed)
+        of = np.unique(rows if rows is not None else np.arange(len(texts)), return_inverse=True)[1]
+        out = rng.permutation(of.max() + 1)[: (of.max() + 1) // 10] if len(texts) else of
         bare = np.flatnonzero(rng.random(len(texts)) < rules.bare)
-        texts, y = [*texts, *(fold(texts[i]) for i in bare)], np.concatenate([y, y[bare]])
+        texts, y, of = [*texts, *(fold(texts[i]) for i in bare)], np.concatenate([y, y[bare]]), np.concatenate([of, of[bare]])
+        given, aside = y, np.isin(of, out)
+        times = np.ones(len(texts)) if times is None else np.concatenate([times, times[bare]]).astype(float)
         held_x, sizes, df = [], [], np.zeros(rules.buckets, np.int64)
         for at in range(0, len(texts), 1000):
             part = texts[at : at + 1000]
@@ -158,8 +173,7 @@ class LangModel:
         x = np.concatenate(held_x)
         begin = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
         idf = np.where(df >= rules.least * len(texts), np.log((1 + len(texts)) / (1 + df)) + 1, 0.0)
-        order = rng.permutation(len(texts))
-        held, rest = order[: len(order) // 10], order[len(order) // 10 :]
+        held, rest = np.flatnonzero(aside), rng.permutation(np.flatnonzero(~aside))
         for again in range(rules.fits):
             z, n = np.zeros((rules.buckets + 1, k)), np.zeros((rules.buckets + 1, k))
             for _ in range(rules.rounds):
@@ -184,12 +198,21 @@ class LangModel:
             if again < rules.fits - 1:
                 y = np.where(p.max(1) >= rules.relabel, p.argmax(1), y)
         if len(held):
-            raw, truth = self.logits([texts[i] for i in held]), y[held]
-            grid = np.exp(np.linspace(np.log(0.3), np.log(10), 60))
-            loss = [-np.log(softmax(raw / t)[np.arange(len(held)), truth] + 1e-12).mean() for t in grid]
-            self.temperature = float(grid[int(np.argmin(loss))])
+            raw = np.concatenate([self.logits([texts[i] for i in held[at : at + 1000]]) for at in range(0, len(held), 1000)])
+            self.temperature, self.noise = self._temper(raw, given[held], times[held], np.linspace(0, 0.6, 31))
+            self.sharpness, _ = self._temper(raw, y[held], np.ones(len(held)), np.zeros(1))
         return self
 
+    @staticmethod
+    def _temper(raw: np.ndarray, truth: np.ndarray, times: np.ndarray, noises: np.ndarray) -> tuple[float, float]:
+        """Temperature and noise under which the labels are likeliest."""
+        best = (np.inf, 1.0, 0.0)
+        for t in np.exp(np.linspace(np.log(0.3), np.log(10), 60)):
+            p = softmax(raw / t)[np.arange(len(raw)), truth]
+            for e in noises:
+                best = min(best, (float(-(times * np.log((1 - e) * p + e / raw.shape[1] + 1e-12)).sum()), float(t), float(e)))
+        return best[1:]
+
     def _ftrl(self, z: np.ndarray, n: np.ndarray) -> np.ndarray:
         r = self.rules
         l1 = np.full((len(z), 1), r.l1)
@@ -200,40 +223,44 @@ class LangModel:
         """Per text its segments: language, text, confidence (the mean over its cuts, by length)."""
         parts = [cuts(t) if isinstance(t, str) else [] for t in texts]
         flat = [c for p in parts for c in p]
-        probs = self.probabilities(flat)
+        if not flat:
+            return [[] for _ in parts]
+        raw = self.logits(flat)
+        sharp, probs = softmax(raw / self.sharpness), self._calibrated(raw)
+        points, begin = code_points(flat)
+        size = np.add.reduceat(lower_points(points) != 32, begin[:-1]).astype(np.float64)
+        told = sharp.argmax(1)
         out, at = [], 0
         for p in parts:
-            mine = probs[at : at + len(p)]
-            at += len(p)
-            out.append(self._join(p, mine))
+            if not p:
+                out.append([])
+                continue
+            to = at + len(p)
+            # Cuts that agree are one segment whatever a change costs.
+            path = told[at:to] if (told[at:to] == told[at]).all() else self._path(sharp[at:to], size[at:to])
+            edges = [0, *(np.flatnonzero(np.diff(path)) + 1), len(p)]
+            mine = []
+            for i, j in zip(edges, edges[1:]):
+                k = int(path[i])
+                weight = size[at + i : at + j]
+                mine.append((self.languages[k], " ".join(p[i:j]), float((probs[at + i : at + j, k] * weight).sum() / max(1.0, weight.sum()))))
+            out.append(mine)
+            at = to
         return out
 
-    def _join(self, parts: list[str], probs: np.ndarray) -> list[tuple[str, str, float]]:
-        if not parts:
-            return []
-        size = np.array([sum(ch.isalpha() for ch in c) for c in parts])
-        weight = np.minimum(1.0, size / self.rules.full)
-        evidence = np.log(np.maximum(probs, 1e-6)) * weight[:, None]
+    def _path(self, sharp: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The likeliest language of each cut, where a change costs ``switch``."""
+        evidence = np.log(np.maximum(sharp, 1e-6)) * np.minimum(1.0, size / self.rules.full)[:, None]
         k = len(self.languages)
         best, back = evidence[0], []
         for e in evidence[1:]:
-            stay, move = best, best.max() - self.rules.switch
-            back.append(np.where(stay >= move, np.arange(k), best.argmax()))
-            best = np.maximum(stay, move) + e
+            move = best.max() - self.rules.switch
+            back.append(np.where(best >= move, np.arange(k), best.argmax()))
+            best = np.maximum(best, move) + e
         path = [int(best.argmax())]
         for b in reversed(back):
             path.append(int(b[path[-1]]))
-        path.reverse()
-        out = []
-        i = 0
-        while i < len(parts):
-            j = i
-            while j + 1 < len(parts) and path[j + 1] == path[i]:
-                j += 1
-            conf = float((probs[i : j + 1, path[i]] * size[i : j + 1]).sum() / max(1, size[i : j + 1].sum()))
-            out.append((self.languages[path[i]], " ".join(parts[i : j + 1]), conf))
-            i = j + 1
-        return out
+        return np.array(path[::-1])
 
 
 def softmax(a: np.ndarray) -> np.ndarray:
@@ -252,22 +279,25 @@ def fit_language_model(rows: DataFrame, text: list[str], label: str, key: list[s
     drawn = F.xxhash64(*[F.col(f"`{k}`") for k in key])
     labelled = rows.select(*[c.alias(f"t{i}") for i, c in enumerate(columns)], F.col(f"`{label}`").alias("l"), drawn.alias("h"))
     labelled = labelled.where("l IS NOT NULL AND trim(l) NOT IN ('', 'und')").orderBy("h").limit(rules.sample)
-    said: dict[tuple[str, int], None] = {}
-    for r in labelled.toLocalIterator():
+    said: dict[tuple[str, int], int] = {}
+    times: Counter = Counter()
+    for n, r in enumerate(labelled.toLocalIterator()):
         code = language_of_label(r["l"])
         if code is None:
             continue
         for i in range(len(text)):
             if r[f"t{i}"]:
-                said.update(dict.fromkeys((c, LANGUAGES.index(code)) for c in cuts(r[f"t{i}"])))
-    sentences, y = [s for s, _ in said], [c for _, c in said]
+                for c in cuts(r[f"t{i}"]):
+                    said.setdefault((c, LANGUAGES.index(code)), n)
+                    times[c, LANGUAGES.index(code)] += 1
+    sentences, y, of, many = [s for s, _ in said], [c for _, c in said], [*said.values()], [times[x] for x in said]
     model = LangModel(rules)
     if not sentences:
         return model
     if len(sentences) > rules.sentences:
         drawn = np.random.default_rng(rules.seed).choice(len(sentences), rules.sentences, replace=False)
-        sentences, y = [sentences[i] for i in drawn], [y[i] for i in drawn]
-    return model.fit(sentences, np.array(y))
+        sentences, y, of, many = ([x[i] for i in drawn] for x in (sentences, y, of, many))
+    return model.fit(sentences, np.array(y), np.array(of), np.array(many))
 
 
 def label_segments(rows: DataFrame, columns: list[str], model: LangModel) -> DataFrame:

@@ -238,7 +238,7 @@ def features(documents: DataFrame, doc_id: str, text: str, vocabulary: Vocabular
                     words = mean = grams = of = np.zeros(0, np.int64)
                     score, ended = np.zeros((0, len(names))), np.zeros(0, bool)
                 logit = score / np.sqrt(np.maximum(grams, 1))[:, None] + v.model.bias
-                e = np.exp((logit - logit.max(1, keepdims=True)) / v.model.temperature) if len(logit) else logit
+                e = np.exp((logit - logit.max(1, keepdims=True)) / v.model.sharpness) if len(logit) else logit
                 p = e / np.maximum(e.sum(1, keepdims=True), 1e-30)
                 weight = np.where(ended, words, 0)
                 share = np.stack([np.bincount(of, p[:, c] * weight, k) for c in range(len(names))], 1) if len(of) else np.zeros((k, len(names)))

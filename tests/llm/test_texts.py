@@ -70,6 +70,25 @@ def test_language_model_held_out(model):
     assert [LANGUAGES[i] for i in p.argmax(1)] == list(held) and np.allclose(p.sum(1), 1)
 
 
+@pytest.mark.parametrize("wrong", [0.0, 0.15, 0.3])
+def test_confidence_is_calibrated(wrong):
+    """On rows never seen, with labels as wrong as in training: mean confidence against agreement."""
+    rng = random.Random(14)
+    def drawn(n):
+        texts, y, of = [], [], []
+        for i in range(n):
+            a, b = rng.sample(LANGUAGES, 2)
+            words = rng.choice(SAID[a]).split()[: rng.randrange(4, 9)] + (rng.choice(SAID[b]).split()[: rng.randrange(3, 6)] if rng.random() < 0.3 else [])
+            texts.append(" ".join(words))
+            y.append(LANGUAGES.index(a) if rng.random() >= wrong else rng.randrange(4))
+            of.append(i // 2)
+        return texts, np.array(y), np.array(of)
+    m = LangModel(LangRules(batch=64)).fit(*drawn(4000))
+    texts, y, _ = drawn(4000)
+    p = m.probabilities(texts)
+    assert abs(p.max(1).mean() - (p.argmax(1) == y).mean()) <= 0.05
+
+
 def test_labels_and_cuts():
     assert [language_of_label(x) for x in ("EN", "fr-AR", "español", "Deutsch", "und", "", None, "xx")] == ["en", "fr", "es", "de", None, None, None, None]
     assert cuts("One two. Three four / five six\nRef. AR-1 2\n\n") == ["One two.", "Three four", "five six"] and cuts("One two. *** trois quatre") == ["One two.", "trois quatre"] and cuts("") == []
