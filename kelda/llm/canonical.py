@@ -55,6 +55,19 @@ def deletes(text: str, k: int) -> set[str]:
     return out
 
 
+def piece_keys(text: str, k: int, parts: int) -> set[str]:
+    """Pieces of text such that two texts within k edits share one, whatever their length, if no k edits touch all of ``parts``.
+
+    The text is cut as one of any length up to k away would be, and a piece may stand up to
+    k letters from where it stood: some hundred keys, where left-out letters would be thousands."""
+    out = set()
+    for n in range(max(0, len(text) - k), len(text) + k + 1):
+        ends = [i * n // parts for i in range(parts + 1)]
+        for i, (a, b) in enumerate(zip(ends, ends[1:])):
+            out |= {f"{n}:{i}:{text[a + s : b + s]}" for s in range(-k, k + 1) if 0 <= a + s and b + s <= len(text)}
+    return out
+
+
 def weighted_distance(a: str, b: str, most: float = 9.0) -> float:
     """Damerau-Levenshtein distance with cheap slips: neighbouring keys 0.7, swapped letters
     0.7, a letter doubled or undoubled 0.5; an edit of the first letter costs 0.3 more."""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from kelda.llm.bodies import BodyParser, near_keys
 from kelda.llm.canonical import DeleteDictionary, MatchRules, NameMatcher, deletes, edits, map_to_list, weighted_distance
 from kelda.llm.linkage import BODY_PASSES, Comparison, LinkModel, LinkRules, body_comparisons, body_records, candidates, link
-from kelda.llm.variants import link_variants, readings, variant_pairs
+from kelda.llm.variants import Rewriter, VariantRules, _forms, link_variants, readings, variant_pairs
 
 ENTRIES = [
     ("fish", ["Department of Fisheries", "Ministère des Pêches", "Secretariat of Fisheries and Colonies"], ["DFI"]),
@@ -118,6 +118,45 @@ def test_variant_pairs(spark):
     assert link_variants(df.limit(0), "name").count() == 0
 
 
+def test_given_names_and_long_leads(spark):
+    """Nicknames in any order; two slips in a name of any length; another table of nicknames."""
+    long = "".join(chr(97 + i * 7 % 26) for i in range(70))
+    swapped = long[:13] + long[14] + long[13] + long[15:41] + long[42] + long[41] + long[43:]
+    names = ["Smith, Michael", "Mike Smith", "MICHAEL SMITH", "Bob Grakinford", "Grakinford, Robert", long, swapped, long[:20] + "0" + long[21:50] + long[51:], "Zaphod Trugilund", "Zap Trugilund"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    got = {tuple(r) for r in variant_pairs(link_variants(df, "name")).collect()}
+    want = {tuple(sorted(p)) for g in (names[:3], names[3:5], names[5:8]) for p in combinations(g, 2)}
+    assert got == want
+    own = link_variants(df, "name", Rewriter(given={"zaphod": "zap"}))
+    assert tuple(sorted(names[8:])) in {tuple(r) for r in variant_pairs(own).collect()}
+
+
+def test_rarity(spark):
+    """What a name says and how many entities have it: rarity is one over their number and decides."""
+    names = ["Christopher Drombrevock", "Catherine Drombrevock", "Kit Drombrevock", "Chris Drombrevock", "Drombrevock, C.", "Victoria Vanterkolt", "Vanterkolt, V."]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    linked = {r.name: (r.entity, r.rarity) for r in link_variants(df, "name").collect()}
+    assert "Kit Drombrevock" not in linked and linked["Drombrevock, C."][0] not in {linked[n][0] for n in names[:2]}
+    assert linked["Vanterkolt, V."] == (linked["Victoria Vanterkolt"][0], 1.0) and linked["Chris Drombrevock"][0] == linked["Christopher Drombrevock"][0]
+    loose = {r.name: r.rarity for r in link_variants(df, "name", rules=VariantRules(rarity=0.4)).collect()}
+    assert loose["Kit Drombrevock"] == loose["Drombrevock, C."] == 0.5 and linked["Drombrevock, C."][1] == 1.0
+
+
+def test_forms_meet():
+    """Leads within two slips share a form, whatever their length, swaps included."""
+    rng = random.Random(15)
+    for n in (9, 12, 30, 63, 64, 65, 66, 67, 90):
+        for _ in range(30):
+            a = [rng.choice("abcdefgh") for _ in range(n)]
+            b = list(a)
+            for _ in range(2):
+                i, how = rng.randrange(len(b) - 1), rng.randrange(4)
+                b[i : i + 2] = [b[i + 1], b[i]] if how == 0 else [b[i]] if how == 1 else ["x", b[i + 1]] if how == 2 else [b[i], "y", b[i + 1]]
+            a, b = "".join(a), "".join(b)
+            if min(len(a), len(b)) >= 9 and edits(a, b, 2) <= 2:
+                assert set(_forms("firm", a)) & set(_forms("firm", b)), (a, b)
+
+
 MANDATES = [("Fisheries", "Pêches"), ("Rail Safety", "Sécurité ferroviaire"), ("Heritage", "Patrimoine")]
 
 
