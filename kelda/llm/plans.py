@@ -114,7 +114,9 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 @catalog.query("p2_links")
 def p2_links(spark: SparkSession, d: str) -> DataFrame:
     """Every candidate pair of unpaired contract and plan bodies with its agreement levels and confidence."""
-    listed = table(spark, d, "institution_list", "name_en", "name_fr", "kind").where("kind = 'department'").limit(MAX_LIST).collect()
+    listed = table(spark, d, "institution_list", "name_en", "name_fr", "kind").where("kind = 'department'").limit(MAX_LIST + 1).collect()
+    if len(listed) > MAX_LIST:
+        raise ValueError(f"the list has more than {MAX_LIST} entries")
     # What stands before the mandate in a department's official names.
     mandates = [(re.sub(r"^Department of ", "", r.name_en), re.sub(r"^Ministère (?:de la |de l'|du |des |de )", "", r.name_fr)) for r in listed]
     parser = BodyParser(mandates)
