@@ -15,7 +15,6 @@ import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -46,12 +45,22 @@ class MatchRules:
 
 def deletes(text: str, k: int) -> set[str]:
     """text without any up to k of its characters."""
+    n = len(text)
     out = {text}
-    layer = [(text, 0)]
-    for _ in range(min(k, len(text) - 1)):
+    if n < 2 or k < 1:
+        return out
+    one = [text[:i] + text[i + 1 :] for i in range(n)]
+    out.update(one)
+    layer = list(enumerate(one))
+    for depth in range(2, min(k, n - 1) + 1):
         # The next character goes at or after the place of the last, so that no set is made twice.
-        layer = [(t[:i] + t[i + 1 :], i) for t, at in layer for i in range(at, len(t))]
-        out.update(t for t, _ in layer)
+        last = depth == min(k, n - 1)
+        for i, t in layer:
+            head = t[:i]
+            tail = t[i:]
+            out.update([head + tail[:j] + tail[j + 1 :] for j in range(len(tail))])
+        if not last:
+            layer = [(j, t[:j] + t[j + 1 :]) for i, t in layer for j in range(i, len(t))]
     return out
 
 
@@ -126,9 +135,8 @@ class DeleteDictionary:
             return []
         met: set[int] = set()
         table = self.table
-        for d in deletes(value, k) if value not in table else {value, *deletes(value, k)}:
-            if d in table:
-                met.update(table[d])
+        for d in table.keys() & deletes(value, k):
+            met.update(table[d])
         best: dict[str, float] = {}
         for i in met:
             spelling, entry, penalty = self.spellings[i]
@@ -172,11 +180,6 @@ SHORT = {
     "agcy": "agency", "agy": "agency", "off": "office", "ofc": "office", "trib": "tribunal", "cncl": "council", "insp": "inspection",
     "min": "ministere", "res": "research", "natl": "national", "gen": "general", "dir": "directorate", "bur": "bureau", "govt": "government",
 }
-# Words that make a body one of another level of government, or no public body, in English and French.
-ELSEWHERE = (
-    "province provincial provinciale municipal municipale municipality municipalite city ville mayor mairie university universite school ecole chamber"
-    " embassy ambassade consulate union society association friends parliament parlement deputies senate"
-).split()
 _SPLIT = re.compile(r"\s+[|/–—-]+\s+|\s*[|/;:]\s*|\s*,\s*|\s*[()\[\]]\s*")
 _APOSTROPHE = re.compile(r"\b(dep|gov|dir|comm|min|trib)['’]([a-z])")
 _DOTTED = re.compile(r"^(?:\w\s*\.\s*){2,}\w?\.?$")
@@ -215,7 +218,7 @@ def name_forms(value: str) -> list[list[str]]:
 class NameMatcher:
     """Finds the list entry that a free-entered name means."""
 
-    def __init__(self, entries: list[tuple[str, list[str], list[str]]], rules: MatchRules, frequency: dict[str, int] | None = None, elsewhere: Iterable[str] = ELSEWHERE) -> None:
+    def __init__(self, entries: list[tuple[str, list[str], list[str]]], rules: MatchRules, frequency: dict[str, int] | None = None, elsewhere: Iterable[str] = ()) -> None:
         """entries: key, names, short names (matched whole and letter by letter). elsewhere: words
         of bodies that are none of the list's, whatever else a value says; those of the list's own names don't count."""
         self.names, self.sorted, self.short = DeleteDictionary(rules), DeleteDictionary(rules), {}
@@ -235,14 +238,32 @@ class NameMatcher:
             if w not in own:
                 self.elsewhere.add(w, w)
         self.own = own
+        self._words: dict[str, bool] = {}
         self.exact = defaultdict(set)
         for spelling, key, _ in self.names.spellings:
             self.exact[spelling].add(key)
 
     def match(self, value: str, hint: str | None = None) -> tuple[str, float] | None:
         """(entry, cost), or None. ``hint``, an unreliable key, decides between entries that are equally near."""
-        if any(w not in self.own and self.elsewhere.lookup(w) for w in name_words(repair(value).replace("_", " "))):
-            return None
+        return self.choose(self.near(value), hint)
+
+    def choose(self, near: list[tuple[str, float]], hint: str | None) -> tuple[str, float] | None:
+        return min(near, key=lambda x: (x[0] != hint, x[1], -self.frequency.get(x[0], 0), x[0]), default=None)
+
+    def _is_elsewhere(self, word: str) -> bool:
+        """Whether a word says that a body is none of the list's; words recur, so answers are kept."""
+        if word in self.own or not self.elsewhere.spellings:
+            return False
+        if word not in self._words:
+            if len(self._words) > 100_000:
+                self._words.clear()
+            self._words[word] = bool(self.elsewhere.lookup(word))
+        return self._words[word]
+
+    def near(self, value: str) -> list[tuple[str, float]]:
+        """(entry, cost) of the entries that the value may mean, those that are about as near as the nearest."""
+        if any(map(self._is_elsewhere, name_words(repair(value).replace("_", " ")))):
+            return []
         found: list[tuple[float, str]] = []
         forms = list(dict.fromkeys(squeeze(words) for words in name_forms(value)))
         for form in forms:
@@ -261,31 +282,34 @@ class NameMatcher:
                 if keys:
                     found += [(0.0 if len(keys) == 1 else 0.5, k) for k in keys]
                     break
-        if not found:
-            return None
-        best = min(c for c, _ in found)
-        near = sorted({(e, c) for c, e in found if c <= best + self.rules.gap}, key=lambda x: (x[0] != hint, x[1], -self.frequency.get(x[0], 0), x[0]))
-        return near[0]
+        best = min((c for c, _ in found), default=0.0)
+        return sorted({(e, c) for c, e in found if c <= best + self.rules.gap})
 
 
 def map_to_list(rows: DataFrame, value: str, hint: str | None, matcher: NameMatcher, out: str = "list_key", miss: str = "unmatched") -> DataFrame:
     """rows with ``out``: the key of the entry that ``value`` names, or ``miss``.
 
+    Each different value is looked up once, in the stage that reads the rows reduced to it,
+    and joined back; a value that a third of all rows have is one row of that side, and the
+    other side of such a key is split by adaptive execution.
+
     Defined cases: NULL and blank values give NULL, as they name nothing; equal values with
     equal hints get equal keys; very long values are looked up whole; other columns are
-    kept; one that is named as ``out`` is replaced.
+    kept; one that is named as ``out`` is replaced; empty rows stay empty.
     """
     shared = rows.sparkSession.sparkContext.broadcast(matcher)
 
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        @lru_cache(maxsize=200_000)
-        def find(v: str, h: str | None) -> str:
-            got = shared.value.match(v, h)
-            return got[0] if got else miss
-
-        for values, hints in batches:
-            yield pd.Series([find(v, h) if isinstance(v, str) and v.strip() else None for v, h in zip(values, hints)], dtype=object)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        m = shared.value
+        for values in batches:
+            yield pd.Series([[{"cost": c, "rare": -m.frequency.get(e, 0), "key": e} for e, c in m.near(v)] if v.strip() else None for v in values], dtype=object)
 
-    udf = F.pandas_udf(run, "string")
+    near = F.pandas_udf(run, "array<struct<cost:double,rare:long,key:string>>")
+    v = F.col(f"`{value}`")
+    known = rows.select(v.alias("__value")).where(v.isNotNull()).distinct().select("__value", near("__value").alias("__near"))
     h = F.col(f"`{hint}`").cast("string") if hint else F.lit(None).cast("string")
-    return rows.withColumn(out, udf(F.col(f"`{value}`"), h))
+    # As NameMatcher.choose has it; without a hint none is nearer for it.
+    order = F.transform("__near", lambda x: F.struct((~x["key"].eqNullSafe(h)).alias("other"), x["cost"], x["rare"], x["key"]))
+    best = F.array_min(order)["key"]
+    joined = rows.join(known, v == F.col("__value"), "left")
+    return joined.withColumn(out, F.when(F.col("__near").isNotNull(), F.coalesce(best, F.lit(miss)))).drop("__value", "__near")

@@ -20,6 +20,11 @@ from kelda.sources.tables import table
 
 catalog = Catalog()
 
+# Words that make a body one of another level of government, or no public body, in English and French.
+ELSEWHERE = (
+    "province provincial provinciale municipal municipale municipality municipalite city ville mayor mairie university universite school ecole chamber"
+    " embassy ambassade consulate union society association friends parliament parlement deputies senate"
+).split()
 #: Most entries of a canonical list that is broadcast.
 MAX_LIST = 10_000
 
@@ -107,7 +112,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
         frequency[official[r["institution"]]] = frequency.get(official[r["institution"]], 0) + r["count"]
     entries = [(r.dept_key, [n for n in (r.name_en, r.name_fr, r.former_name) if n], [r.acronym] if r.acronym else []) for r in listed]
     typed = rows.where(~F.col("institution").isin(list(official)) & (F.trim(F.regexp_replace("institution", r"\s", " ")) != ""))
-    mapped = map_to_list(typed, "institution", "dept_key", NameMatcher(entries, MatchRules(), frequency))
+    mapped = map_to_list(typed, "institution", "dept_key", NameMatcher(entries, MatchRules(), frequency, ELSEWHERE))
     return mapped.select("src", "row_id", "list_key").distinct()
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from kelda.llm.bodies import BodyParser, near_keys
 from kelda.llm.canonical import DeleteDictionary, MatchRules, NameMatcher, deletes, edits, map_to_list, weighted_distance
 from kelda.llm.linkage import BODY_PASSES, Comparison, LinkModel, LinkRules, body_comparisons, body_records, candidates, link
+from kelda.llm.plans import ELSEWHERE
 from kelda.llm.variants import Rewriter, VariantRules, _forms, link_variants, readings, variant_pairs
 
 ENTRIES = [
@@ -24,7 +25,7 @@ ENTRIES = [
 
 @pytest.fixture(scope="module")
 def matcher():
-    return NameMatcher(ENTRIES, MatchRules(), {"energy": 5, "other": 1})
+    return NameMatcher(ENTRIES, MatchRules(), {"energy": 5, "other": 1}, ELSEWHERE)
 
 
 @pytest.mark.parametrize(
