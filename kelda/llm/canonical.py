@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from kelda.llm.codes import fold, repair
+from kelda.session import shuffle_partitions
 
 # Keys that lie side by side on a QWERTY keyboard.
 _ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
@@ -289,8 +290,7 @@ class NameMatcher:
 def map_to_list(rows: DataFrame, value: str, hint: str | None, matcher: NameMatcher, out: str = "list_key", miss: str = "unmatched") -> DataFrame:
     """rows with ``out``: the key of the entry that ``value`` names, or ``miss``.
 
-    Each different value is looked up once, in the stage that reads the rows reduced to it,
-    and joined back; a value that a third of all rows have is one row of that side, and the
+    Each different value is looked up once and joined back; a value that a third of all rows have is one row of that side, and the
     other side of such a key is split by adaptive execution.
 
     Defined cases: NULL and blank values give NULL, as they name nothing; equal values with
@@ -306,7 +306,9 @@ def map_to_list(rows: DataFrame, value: str, hint: str | None, matcher: NameMatc
 
     near = F.pandas_udf(run, "array<struct<cost:double,rare:long,key:string>>")
     v = F.col(f"`{value}`")
-    known = rows.select(v.alias("__value")).where(v.isNotNull()).distinct().select("__value", near("__value").alias("__near"))
+    # Looking up takes far longer than its rows are large, so these keep all partitions.
+    different = rows.select(v.alias("__value")).where(v.isNotNull()).distinct().repartition(shuffle_partitions(rows.sparkSession))
+    known = different.select("__value", near("__value").alias("__near"))
     h = F.col(f"`{hint}`").cast("string") if hint else F.lit(None).cast("string")
     # As NameMatcher.choose has it; without a hint none is nearer for it.
     order = F.transform("__near", lambda x: F.struct((~x["key"].eqNullSafe(h)).alias("other"), x["cost"], x["rare"], x["key"]))
