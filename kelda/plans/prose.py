@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kelda.functions.text import sentences, words_only
 from kelda.operators.notes import current_state, first_and_last
-from kelda.operators.prose import attested, ceiling_flags, lines_page, name_runs, quotes, scan_phrases, without_supplier_lists
+from kelda.operators.prose import FIRM_ENDINGS, attested, ceiling_flags, lines_page, name_runs, quotes, scan_phrases, without_supplier_lists
 from kelda.plans.registry import Catalog
 from kelda.sources.tables import table
 
 catalog = Catalog()
 
+#: Most entries of a list of names that is scanned for in one expression.
+MAX_LIST = 10_000
+
 PROBES = {"security": ["security clearance", "cote de s[ée]curit[ée]"], "travel": ["travel or living expenses", "frais de d[ée]placement"], "deadline": ["ahead of the deadline", "avant l'[ée]ch[ée]ance"]}
 BOILERPLATE = ["extends the closing date", "reporte la date de cl[oô]ture"]
 NAMES = {"records centre": [], "northern district": [], "finance branch": [], "list of vendors": ["the list of vendors", "revised list of vendors"]}
@@ -86,14 +89,29 @@ def page(spark: SparkSession, d: str) -> DataFrame:
 @catalog.query("phrase_scan")
 def phrase_scan(spark: SparkSession, d: str) -> DataFrame:
     """Listed bodies named in the notices' entity fields, longer names first; tested against a plain scan."""
-    listed = table(spark, d, "institution_list").select("dept_key", words_only("name_en").alias("en"), words_only("name_fr").alias("fr")).limit(10_000).collect()
+    listed = table(spark, d, "institution_list").select("dept_key", words_only("name_en").alias("en"), words_only("name_fr").alias("fr")).limit(MAX_LIST + 1).collect()
+    if len(listed) > MAX_LIST:
+        raise ValueError(f"the list has more than {MAX_LIST} entries")
     phrases = {p: r.dept_key for r in listed for p in (r.en, r.fr) if p}
     return scan_phrases(table(spark, d, "notices", "reference_number", "contracting_entity"), "reference_number", "contracting_entity", phrases).distinct()
 
 
-@catalog.query("supplier_lists")
+_LINE = r"trim(regexp_replace(l, '^\s*(?:[-*•]|[0-9]{1,3}[.)])\s*', ''))"
+_MARKED = rf"""array_to_string(list_transform(string_split(description, chr(10)), lambda l: CASE WHEN {_LINE} = '' THEN chr(3)
+  WHEN len(string_split_regex({_LINE}, '\s+')) <= 10 AND length({_LINE}) <= 200 AND regexp_matches({_LINE}, '(?i)\b(?:{FIRM_ENDINGS})\.?\s*$') THEN chr(1)
+  WHEN len(string_split_regex({_LINE}, '\s+')) <= 10 AND NOT regexp_matches({_LINE}, '[.:;]$') THEN chr(2) ELSE chr(4) END || l), chr(10))"""
+
+
+@catalog.query(
+    "supplier_lists",
+    rf"""WITH m AS (SELECT reference_number, amendment_number, {_MARKED} AS t FROM notices WHERE description IS NOT NULL),
+      r AS (SELECT reference_number, amendment_number, t, regexp_extract_all(t, '\x01[^\x04]*\x01[^\n]*|\x01[^\n]*') AS runs FROM m),
+      c AS (SELECT reference_number, amendment_number, list_filter(runs, lambda x: length(x) - length(replace(x, chr(1), '')) >= 10
+        AND length(x) - length(replace(x, chr(1), '')) >= 0.8 * (2 * length(x) - length(replace(x, chr(1), '')) - length(replace(x, chr(2), '')))) AS runs FROM r)
+    SELECT reference_number, amendment_number, CAST(coalesce(list_sum(list_transform(runs, lambda x: length(regexp_replace(x, '[\x01-\x04]', '', 'g')) - 19)), 0) AS INT) AS taken FROM c""",
+)
 def supplier_lists(spark: SparkSession, d: str) -> DataFrame:
-    """Characters that stripping lists of suppliers takes from each description; the function is tested on its own."""
+    """Characters that stripping lists of suppliers takes from each description."""
     rows = table(spark, d, "notices", "reference_number", "amendment_number", "description").where("description IS NOT NULL")
     return rows.select("reference_number", "amendment_number", (F.length("description") - F.length(without_supplier_lists(F.col("description")))).alias("taken"))
 

@@ -53,14 +53,18 @@ def test_quotes_and_flags(spark):
     assert flags("See attached.") == (True, True) and flags("") == (True, False) and flags(None) == (True, False) and flags("Word " * 60 + ".") == (False, False)
 
 
-def test_supplier_lists():
+def test_supplier_lists(spark):
+    strip = lambda t: one(spark, prose.without_supplier_lists(F.col("x")), t)
     run = "\n".join(f"{i}. Vendor Number {i} Inc." for i in range(15))
-    out = prose.strip_supplier_lists(f"Before this, prose.\n{run}\nAfter this, prose.")
-    assert out == "Before this, prose.\n[list of suppliers]\nAfter this, prose."
+    assert strip(f"Before this, prose.\n{run}\nAfter this, prose.") == "Before this, prose.\n[list of suppliers]\nAfter this, prose."
     nine = "\n".join(f"{i}. Vendor Number {i} Inc." for i in range(9))
     plain = "\n".join(f"- point {i}" for i in range(15))
-    assert prose.strip_supplier_lists(nine) == nine and prose.strip_supplier_lists(plain) == plain
-    assert prose.strip_supplier_lists("") == "" and prose.strip_supplier_lists(None) is None and len(prose.strip_supplier_lists("x\n" * 50_000)) == 100_000
+    assert strip(nine) == nine and strip(plain) == plain
+    assert strip("") == "" and strip(None) is None and len(strip("x\n" * 50_000)) == 100_000
+    mixed = "\n".join(f"- Vendor {i} Ltd" + "\n\nsome item" * (i % 9 == 8) for i in range(18))
+    assert strip(f"head\n{mixed}\ntail") == "head\n[list of suppliers]\n\nsome item\ntail"
+    loose = "\n".join(f"- Vendor {i} Ltd\nsome item" for i in range(18))
+    assert strip(loose) == loose
 
 
 def test_front_matter_and_lists(spark):
