@@ -7,7 +7,6 @@ so a run is one pass however many stages it has.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -88,7 +87,3 @@ def classify(rules: list[tuple[str, str, Column]], otherwise: tuple[str, str] =
         out = F.when(test, answer) if out is None else out.when(test, answer)
     last = F.struct(F.lit(otherwise[0]).alias("kind"), F.lit(otherwise[1]).alias("basis"))
     return last if out is None else out.otherwise(last)
-
-
-#: Named what-if variants of a funnel: each makes the stages anew from the rows' columns.
-VARIANTS: dict[str, Callable[[], list[Stage]]] = {}

@@ -1,5 +1,5 @@
 """Every catalogue of the core."""
 
-from kelda.plans import contracts, entities, evaluation, notices, periods, prose, search, signals, streams
+from kelda.plans import audit, contracts, entities, evaluation, notices, periods, prose, search, signals, streams
 
-catalogs = [m.catalog for m in (periods, contracts, notices, signals, entities, search, evaluation, prose, streams)]
+catalogs = [m.catalog for m in (periods, contracts, notices, audit, signals, entities, search, evaluation, prose, streams)]

@@ -36,11 +36,11 @@ def normalize_vendor(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "contracts", "vendor").where("vendor IS NOT NULL").distinct().select("vendor", T.normalize_vendor("vendor").alias("norm"))
 
 
-_SPELLINGS = f"""(SELECT dept_key, {org_sql('name_en')} AS s FROM institution_list UNION SELECT dept_key, {words_sql('name_fr')} FROM institution_list
+SPELLINGS = f"""(SELECT dept_key, {org_sql('name_en')} AS s FROM institution_list UNION SELECT dept_key, {words_sql('name_fr')} FROM institution_list
   UNION SELECT dept_key, lower(acronym) FROM institution_list WHERE acronym IS NOT NULL)"""
 
 
-def _spellings(spark: SparkSession, d: str) -> DataFrame:
+def spellings(spark: SparkSession, d: str) -> DataFrame:
     listed = table(spark, d, "institution_list")
     forms = F.explode(F.array_compact(F.array(T.normalize_org("name_en"), T.words_only("name_fr"), F.lower("acronym")))).alias("s")
     return listed.select("dept_key", forms).distinct()
@@ -49,13 +49,13 @@ def _spellings(spark: SparkSession, d: str) -> DataFrame:
 @catalog.query(
     "resolve_exact",
     f"""WITH n AS (SELECT DISTINCT {org_sql('institution')} AS name FROM communication_dpohs WHERE institution IS NOT NULL),
-    r AS (SELECT s, min(dept_key) AS k, count(DISTINCT dept_key) AS c FROM {_SPELLINGS} WHERE s <> '' GROUP BY s)
+    r AS (SELECT s, min(dept_key) AS k, count(DISTINCT dept_key) AS c FROM {SPELLINGS} WHERE s <> '' GROUP BY s)
     SELECT name, CASE WHEN c = 1 THEN k END AS dept_key, CASE WHEN c IS NULL THEN 'unresolved' WHEN c > 1 THEN 'ambiguous' ELSE 'resolved' END AS state FROM n LEFT JOIN r ON n.name = r.s""",
 )
 def resolve_exact_names(spark: SparkSession, d: str) -> DataFrame:
     """Typed institutions that equal a listed spelling after normalisation, never by likeness."""
     names = table(spark, d, "communication_dpohs", "institution").where("institution IS NOT NULL").select(T.normalize_org("institution").alias("name"))
-    return resolve_exact(names, "name", _spellings(spark, d), "dept_key", "s")
+    return resolve_exact(names, "name", spellings(spark, d), "dept_key", "s")
 
 
 _SIDES = f"""c AS (SELECT DISTINCT contract_owner_org AS cid, {words_sql("coalesce(contract_org_en, '')")} AS c1, {words_sql("coalesce(split_part(contract_org_title, '|', 1), '')")} AS c2 FROM org_crosswalk WHERE contract_owner_org IS NOT NULL),

@@ -17,11 +17,12 @@ TERMS = ["cloud hosting", "network security audit", "data entry", "payroll softw
 EXCLUDED = ["catering", "snow removal", "déneigement"]
 PREFIXES = ["11", "43", "4321", "77", "88"]
 KEY = ["reference_number", "amendment_number"]
-_W = r"(^|[^\p{L}\p{N}_])%s($|[^\p{L}\p{N}_])"
-_BODY = "lower(coalesce(title, '') || ' ' || coalesce(description, ''))"
+WORD = r"(^|[^\p{L}\p{N}_])%s($|[^\p{L}\p{N}_])"
+BODY = "lower(coalesce(title, '') || ' ' || coalesce(description, ''))"
 
 
-def _body():
+def body():
+    """Title and description of a notice."""
     return F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("description", F.lit("")))
 
 
@@ -32,32 +33,32 @@ def _notices(spark: SparkSession, d: str, *columns: str) -> DataFrame:
 @catalog.query(
     "keyword_match",
     "SELECT DISTINCT * FROM (SELECT reference_number, amendment_number, array_to_string(list_filter(["
-    + ", ".join(f"CASE WHEN regexp_matches({_BODY}, '{_W % t}') THEN '{t}' END" for t in TERMS)
+    + ", ".join(f"CASE WHEN regexp_matches({BODY}, '{WORD % t}') THEN '{t}' END" for t in TERMS)
     + "], lambda x: x IS NOT NULL), ';') AS terms FROM notices) WHERE terms <> ''",
 )
 def keyword_match(spark: SparkSession, d: str) -> DataFrame:
     rows = _notices(spark, d, "title", "description")
-    return rows.select(*KEY, F.array_join(T.matched_terms(_body(), TERMS), ";").alias("terms")).where("terms <> ''").distinct()
+    return rows.select(*KEY, F.array_join(T.matched_terms(body(), TERMS), ";").alias("terms")).where("terms <> ''").distinct()
 
 
 @catalog.query(
     "exclusion_match",
     "SELECT DISTINCT * FROM (SELECT reference_number, amendment_number, array_to_string(list_filter(["
-    + ", ".join(f"CASE WHEN contains({_BODY}, '{t}') THEN '{t}' END" for t in EXCLUDED)
+    + ", ".join(f"CASE WHEN contains({BODY}, '{t}') THEN '{t}' END" for t in EXCLUDED)
     + "], lambda x: x IS NOT NULL), ';') AS excluded FROM notices) WHERE excluded <> ''",
 )
 def exclusion_match(spark: SparkSession, d: str) -> DataFrame:
     rows = _notices(spark, d, "title", "description")
-    return rows.select(*KEY, F.array_join(T.matched_substrings(_body(), EXCLUDED), ";").alias("excluded")).where("excluded <> ''").distinct()
+    return rows.select(*KEY, F.array_join(T.matched_substrings(body(), EXCLUDED), ";").alias("excluded")).where("excluded <> ''").distinct()
 
 
-_CODES = r"list_sort(list_distinct(list_filter(list_transform(string_split(coalesce(unspsc, ''), chr(10)), lambda x: trim(replace(x, '*', ''))), lambda x: regexp_matches(x, '^[0-9]{8}$'))))"
+CODES = r"list_sort(list_distinct(list_filter(list_transform(string_split(coalesce(unspsc, ''), chr(10)), lambda x: trim(replace(x, '*', ''))), lambda x: regexp_matches(x, '^[0-9]{8}$'))))"
 
 
 @catalog.query(
     "code_families",
-    f"SELECT DISTINCT * FROM (SELECT reference_number, amendment_number, array_to_string({_CODES}, ',') AS codes, array_to_string(list_filter(["
-    + ", ".join(f"CASE WHEN len(list_filter({_CODES}, lambda c: starts_with(c, '{p}'))) > 0 THEN '{p}' END" for p in sorted(PREFIXES))
+    f"SELECT DISTINCT * FROM (SELECT reference_number, amendment_number, array_to_string({CODES}, ',') AS codes, array_to_string(list_filter(["
+    + ", ".join(f"CASE WHEN len(list_filter({CODES}, lambda c: starts_with(c, '{p}'))) > 0 THEN '{p}' END" for p in sorted(PREFIXES))
     + "], lambda x: x IS NOT NULL), ',') AS families FROM notices) WHERE codes <> ''",
 )
 def code_families(spark: SparkSession, d: str) -> DataFrame:
@@ -68,7 +69,7 @@ def code_families(spark: SparkSession, d: str) -> DataFrame:
 
 @catalog.query(
     "code_rollup",
-    f"""WITH c AS (SELECT DISTINCT reference_number, amendment_number, unnest({_CODES}) AS code FROM notices)
+    f"""WITH c AS (SELECT DISTINCT reference_number, amendment_number, unnest({CODES}) AS code FROM notices)
     SELECT rpad(left(code, 4), 8, '0') AS family, count(*) AS n_rows, count(DISTINCT (reference_number, amendment_number)) AS n_notices FROM c GROUP BY 1""",
 )
 def code_rollup(spark: SparkSession, d: str) -> DataFrame:
@@ -125,7 +126,7 @@ def fiscal_years(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _kind():
-    kind, category, low = F.coalesce("notice_type", F.lit("")), T.parse_categories("procurement_category"), F.lower(_body())
+    kind, category, low = F.coalesce("notice_type", F.lit("")), T.parse_categories("procurement_category"), F.lower(body())
     construction = (F.size(category) > 0) & (F.size(F.filter(category, lambda c: c != "*CNST")) == 0)
     return classify(
         [
@@ -143,7 +144,7 @@ def _kind():
 _CATS = "list_filter(list_transform(string_split(coalesce(procurement_category, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '')"
 _KIND_SQL = f"""CASE WHEN notice_type = 'RFP against Supply Arrangement' THEN 'call_up/notice_type' WHEN notice_type = 'Invitation to Qualify' THEN 'qualification/notice_type'
   WHEN notice_type = 'Request for Information' THEN 'information/notice_type' WHEN notice_type = 'Advance Contract Award Notice' THEN 'award/notice_type'
-  WHEN len({_CATS}) > 0 AND len(list_filter({_CATS}, lambda c: c <> '*CNST')) = 0 THEN 'construction/category' WHEN contains({_BODY}, 'standing offer') THEN 'standing_offer/prose'
+  WHEN len({_CATS}) > 0 AND len(list_filter({_CATS}, lambda c: c <> '*CNST')) = 0 THEN 'construction/category' WHEN contains({BODY}, 'standing offer') THEN 'standing_offer/prose'
   WHEN notice_type = 'Request for Proposal' THEN 'standalone/notice_type' ELSE 'unknown/none' END"""
 
 
@@ -188,10 +189,10 @@ def term_windows(spark: SparkSession, d: str) -> DataFrame:
 def funnel_stages() -> list[Stage]:
     """Stages over the columns of a notice, with 1 March 2024 as the day of the run."""
     closing = F.try_to_date(F.left("closing_date", F.lit(10)), "yyyy-MM-dd")
-    codes, terms = T.parse_codes("unspsc"), T.matched_terms(_body(), TERMS)
+    codes, terms = T.parse_codes("unspsc"), T.matched_terms(body(), TERMS)
     coded = F.size(codes) > 0
     relevant = F.when(coded, F.size(T.matched_prefixes(codes, PREFIXES)) > 0).otherwise(F.size(terms) > 0)
-    excluded = T.matched_substrings(_body(), EXCLUDED)
+    excluded = T.matched_substrings(body(), EXCLUDED)
     return [
         Stage("closed", closing < F.lit("2024-03-01").cast("date")),
         Stage("exclusion", F.size(excluded) > 0, F.array_join(excluded, ";")),
@@ -202,11 +203,17 @@ def funnel_stages() -> list[Stage]:
     ]
 
 
-_STAGED = f"""SELECT reference_number, amendment_number, coalesce({_CLOSE} < DATE '2024-03-01', FALSE) AS closed,
-  {' OR '.join(f"contains({_BODY}, '{t}')" for t in EXCLUDED)} AS exclusion, {_KIND_SQL} = 'construction/category' AS construction,
-  NOT (CASE WHEN len({_CODES}) > 0 THEN {' OR '.join(f"len(list_filter({_CODES}, lambda c: starts_with(c, '{p}'))) > 0" for p in PREFIXES)}
-    ELSE {' OR '.join(f"regexp_matches({_BODY}, '{_W % t}')" for t in TERMS)} END) AS relevance,
-  lower(trim(coalesce(reference_number, ''))) IN ('', 'nan') AS identifiable FROM notices"""
+
+def staged_sql(source: str = "notices", keep: str = "reference_number, amendment_number") -> str:
+    """The stages of the funnel as SQL over the columns of a notice."""
+    return f"""SELECT {keep}, coalesce({_CLOSE} < DATE '2024-03-01', FALSE) AS closed,
+  {' OR '.join(f"contains({BODY}, '{t}')" for t in EXCLUDED)} AS exclusion, {_KIND_SQL} = 'construction/category' AS construction,
+  NOT (CASE WHEN len({CODES}) > 0 THEN {' OR '.join(f"len(list_filter({CODES}, lambda c: starts_with(c, '{p}'))) > 0" for p in PREFIXES)}
+    ELSE {' OR '.join(f"regexp_matches({BODY}, '{WORD % t}')" for t in TERMS)} END) AS relevance,
+  lower(trim(coalesce(reference_number, ''))) IN ('', 'nan') AS identifiable FROM {source}"""
+
+
+_STAGED = staged_sql()
 _FUNNEL_COLUMNS = ("title", "description", "closing_date", "notice_type", "procurement_category", "unspsc")
 _ACTIVE = ("closed", "exclusion", "construction", "relevance", "identifiable")
 
