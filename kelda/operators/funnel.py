@@ -30,7 +30,11 @@ def jurisdictions(rows: DataFrame, fields: list[str], registry: DataFrame, spell
     known = registry.where(F.col(spelling) != "").select(F.col(spelling).alias("__s")).distinct()
     # NULLs don't join, so a combination goes by its position-true text.
     pairs = rows.select(*fields).distinct().withColumn("__id", F.to_json(F.array(*fields)))
-    names = [F.transform(T.split_entities(F.coalesce(f, F.lit(""))), lambda x, i=i: F.struct(F.lit(i).alias("i"), T.normalize_org(x).alias("s"))) for i, f in enumerate(fields)]
+
+    def named(i: int) -> Callable[[Column], Column]:
+        return lambda x: F.struct(F.lit(i).alias("i"), T.normalize_org(x).alias("s"))
+
+    names = [F.transform(T.split_entities(F.coalesce(f, F.lit(""))), named(i)) for i, f in enumerate(fields)]
     said = pairs.select("__id", F.explode(F.concat(*names)).alias("n")).select("__id", "n.i", F.col("n.s").alias("__s"))
     found = said.join(known, "__s").groupBy("__id").agg(F.min("i").alias("__i"))
     other = F.coalesce(*[other_level(F.col(f), phrases) for f in fields])
