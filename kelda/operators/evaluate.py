@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kelda.functions.stats import wilson
+from kelda.operators.ranking import global_rank
 
 
 def confusion(rows: DataFrame, expected: str, decided: str, group: list[str] | None = None) -> DataFrame:
@@ -66,11 +67,11 @@ def lift(rows: DataFrame, signals: list[str], hit: str) -> DataFrame:
 
 
 def size_strata(rows: DataFrame, size: str, key: str, n: int = 3) -> DataFrame:
-    """rows with ``stratum`` 0 to n - 1 by size, remainders in the last; for panels of bounded size (one row per body)."""
-    w = Window.orderBy(size, key)
-    total = rows.agg(F.count("*").alias("__n"))
-    ranked = rows.join(F.broadcast(total)).withColumn("__r", F.row_number().over(w) - 1)
-    return ranked.withColumn("stratum", F.least(F.floor(F.col("__r") / F.greatest(F.floor(F.col("__n") / n), F.lit(1))), F.lit(n - 1)).cast("int")).drop("__n", "__r")
+    """rows with ``stratum`` 0 to n - 1 by size, then key; remainders in the last."""
+    ranked = global_rank(rows, [size, key], "__r")
+    total = ranked.agg(F.count("*").alias("__n"))
+    ranked = ranked.join(F.broadcast(total))
+    return ranked.withColumn("stratum", F.least(F.floor((F.col("__r") - 1) / F.greatest(F.floor(F.col("__n") / n), F.lit(1))), F.lit(n - 1)).cast("int")).drop("__n", "__r")
 
 
 def frame_cells(events: DataFrame, dims: list[str], day: str, first: str, last: str, ahead: int = 12) -> DataFrame:

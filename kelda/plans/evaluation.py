@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kelda.functions.dates import day_sql, iso, readable_day
 from kelda.operators.evaluate import availability_mask, compare_versions, confusion, discordant, frame_cells, histogram, lift, size_strata, split_half, threshold_curve
+from kelda.operators.ranking import rank_within
 from kelda.operators.sampling import bernoulli, hash_sample, per_outcome, round_robin
 from kelda.operators.sets import fingerprint, insert_absent, key_changes, nested, new_since, symmetric_difference
 from kelda.plans.registry import Catalog
@@ -16,11 +17,11 @@ catalog = Catalog()
 # A mass in [0, 1) and a truth for every order, so that thresholds have something to tell apart.
 _MASS = "CAST((o_orderkey * 7919) % 1000 AS DOUBLE) / 1000"
 _TRUTH = "(o_orderkey * 7919) % 1000 + (o_custkey % 400) > 700"
-_SCORED = f"(SELECT o_orderkey, o_custkey, o_orderpriority, {_MASS} AS mass, {_TRUTH} AS truth FROM orders)"
+SCORED = f"(SELECT o_orderkey, o_custkey, o_orderpriority, {_MASS} AS mass, {_TRUTH} AS truth FROM orders)"
 _THRESHOLDS = [0.01, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.6, 0.75, 0.9, 0.95]
 
 
-def _scored(spark: SparkSession, d: str) -> DataFrame:
+def scored(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderpriority")
     k = (F.col("o_orderkey") * 7919) % 1000
     return o.withColumn("mass", k.cast("double") / 1000).withColumn("truth", k + F.col("o_custkey") % 400 > 700)
@@ -39,35 +40,35 @@ _P, _R = _wilson_sql("tp", "(tp + fp)"), _wilson_sql("tp", "(tp + fn)")
 @catalog.query(
     "confusion",
     f"""SELECT o_orderpriority, tp, fp, tn, fn, CAST(0 AS BIGINT) AS unscored, round(tp / nullif(tp + fp, 0), 6) AS precision, {_P[0]} AS precision_low, {_P[1]} AS precision_high, round(tp / nullif(tp + fn, 0), 6) AS recall, {_R[0]} AS recall_low, {_R[1]} AS recall_high
-    FROM (SELECT o_orderpriority, count(*) FILTER (WHERE truth AND mass >= 0.6) AS tp, count(*) FILTER (WHERE NOT truth AND mass >= 0.6) AS fp, count(*) FILTER (WHERE NOT truth AND mass < 0.6) AS tn, count(*) FILTER (WHERE truth AND mass < 0.6) AS fn FROM {_SCORED} GROUP BY 1)""",
+    FROM (SELECT o_orderpriority, count(*) FILTER (WHERE truth AND mass >= 0.6) AS tp, count(*) FILTER (WHERE NOT truth AND mass >= 0.6) AS fp, count(*) FILTER (WHERE NOT truth AND mass < 0.6) AS tn, count(*) FILTER (WHERE truth AND mass < 0.6) AS fn FROM {SCORED} GROUP BY 1)""",
 )
 def confusion_by_class(spark: SparkSession, d: str) -> DataFrame:
-    return confusion(_scored(spark, d).withColumn("decided", F.col("mass") >= 0.6), "truth", "decided", ["o_orderpriority"])
+    return confusion(scored(spark, d).withColumn("decided", F.col("mass") >= 0.6), "truth", "decided", ["o_orderpriority"])
 
 
 @catalog.query(
     "threshold_curve",
     " UNION ALL ".join(
-        f"SELECT CAST({t} AS DOUBLE) AS threshold, count(*) FILTER (WHERE m >= {t}) AS admitted, count(*) FILTER (WHERE m >= {t} AND truth) AS hits, round(count(*) FILTER (WHERE m >= {t} AND truth) / count(*) FILTER (WHERE truth), 6) AS recall, round(count(*) FILTER (WHERE m >= {t} AND truth) / nullif(count(*) FILTER (WHERE m >= {t}), 0), 6) AS precision FROM (SELECT *, CAST(round_even(CAST(mass AS DECIMAL(9, 3)), 2) AS DOUBLE) AS m FROM {_SCORED})"
+        f"SELECT CAST({t} AS DOUBLE) AS threshold, count(*) FILTER (WHERE m >= {t}) AS admitted, count(*) FILTER (WHERE m >= {t} AND truth) AS hits, round(count(*) FILTER (WHERE m >= {t} AND truth) / count(*) FILTER (WHERE truth), 6) AS recall, round(count(*) FILTER (WHERE m >= {t} AND truth) / nullif(count(*) FILTER (WHERE m >= {t}), 0), 6) AS precision FROM (SELECT *, CAST(round_even(CAST(mass AS DECIMAL(9, 3)), 2) AS DOUBLE) AS m FROM {SCORED})"
         for t in _THRESHOLDS
     ),
 )
 def threshold_points(spark: SparkSession, d: str) -> DataFrame:
-    return threshold_curve(_scored(spark, d).withColumn("mass", F.col("mass").cast("decimal(9,3)")).withColumn("mass", F.bround("mass", 2).cast("double")), "mass", "truth", _THRESHOLDS)
+    return threshold_curve(scored(spark, d).withColumn("mass", F.col("mass").cast("decimal(9,3)")).withColumn("mass", F.bround("mass", 2).cast("double")), "mass", "truth", _THRESHOLDS)
 
 
-@catalog.query("mass_histogram", f"SELECT CAST(b AS INT) AS bin, (SELECT count(*) FROM {_SCORED} WHERE truth AND least(floor(mass * 10), 9) = b) AS n_rows FROM range(10) t(b)")
+@catalog.query("mass_histogram", f"SELECT CAST(b AS INT) AS bin, (SELECT count(*) FROM {SCORED} WHERE truth AND least(floor(mass * 10), 9) = b) AS n_rows FROM range(10) t(b)")
 def mass_histogram(spark: SparkSession, d: str) -> DataFrame:
-    return histogram(_scored(spark, d).where("truth"), "mass")
+    return histogram(scored(spark, d).where("truth"), "mass")
 
 
 @catalog.query(
     "version_changes",
     f"""SELECT CASE WHEN x = y THEN 'unchanged' WHEN x = truth AND y <> truth THEN 'regression' WHEN x <> truth AND y = truth THEN 'recovered' WHEN y THEN 'newly_admitted' ELSE 'newly_rejected' END AS change, count(*) AS n_rows
-    FROM (SELECT truth, mass >= 0.6 AS x, mass >= 0.5 OR o_custkey % 11 = 0 AS y FROM {_SCORED}) GROUP BY 1""",
+    FROM (SELECT truth, mass >= 0.6 AS x, mass >= 0.5 OR o_custkey % 11 = 0 AS y FROM {SCORED}) GROUP BY 1""",
 )
 def version_changes(spark: SparkSession, d: str) -> DataFrame:
-    rows = _scored(spark, d)
+    rows = scored(spark, d)
     base = rows.select("o_orderkey", "truth", (F.col("mass") >= 0.6).alias("decided"))
     other = rows.select("o_orderkey", ((F.col("mass") >= 0.5) | (F.col("o_custkey") % 11 == 0)).alias("decided"))
     return compare_versions(base, other, "o_orderkey", "decided", "truth")
@@ -76,10 +77,10 @@ def version_changes(spark: SparkSession, d: str) -> DataFrame:
 @catalog.query(
     "discordant_counts",
     f"""SELECT count(*) FILTER (WHERE a AND b) AS both, count(*) FILTER (WHERE a AND NOT b) AS only_a, count(*) FILTER (WHERE NOT a AND b) AS only_b, count(*) FILTER (WHERE NOT a AND NOT b) AS neither
-    FROM (SELECT (mass >= 0.6) = truth AS a, (mass >= 0.5) = truth AS b FROM {_SCORED})""",
+    FROM (SELECT (mass >= 0.6) = truth AS a, (mass >= 0.5) = truth AS b FROM {SCORED})""",
 )
 def discordant_counts(spark: SparkSession, d: str) -> DataFrame:
-    return discordant(_scored(spark, d), (F.col("mass") >= 0.6) == F.col("truth"), (F.col("mass") >= 0.5) == F.col("truth"))
+    return discordant(scored(spark, d), (F.col("mass") >= 0.6) == F.col("truth"), (F.col("mass") >= 0.5) == F.col("truth"))
 
 
 _PANEL = """(SELECT c_custkey, c_nationkey, count(o_orderkey) FILTER (WHERE o_orderdate < TIMESTAMP '1998-01-01') AS prior, coalesce(max(o_totalprice) FILTER (WHERE o_orderdate < TIMESTAMP '1998-01-01'), 0) AS largest,
@@ -309,31 +310,27 @@ def latest_year_rows(spark: SparkSession, d: str) -> DataFrame:
     SELECT o_orderpriority, CAST(k AS INT) AS decile, o_totalprice AS cut FROM r, range(1, 10) t(k) WHERE i = n * k // 10""",
 )
 def deciles(spark: SparkSession, d: str) -> DataFrame:
-    """Positional cut points sorted[n * k // 10] of each class, from counts of different values."""
-    o = table(spark, d, "orders", "o_orderpriority", "o_totalprice").groupBy("o_orderpriority", "o_totalprice").agg(F.count("*").alias("c"))
-    w = Window.partitionBy("o_orderpriority").orderBy("o_totalprice")
-    run = o.withColumn("upto", F.sum("c").over(w))
-    total = o.groupBy("o_orderpriority").agg(F.sum("c").alias("n")).withColumn("decile", F.explode(F.sequence(F.lit(1), F.lit(9))))
-    at = total.withColumn("i", F.floor(F.col("n") * F.col("decile") / 10))
-    hit = run.join(F.broadcast(at), "o_orderpriority").where((F.col("i") < F.col("upto")) & (F.col("i") >= F.col("upto") - F.col("c")))
-    return hit.select("o_orderpriority", "decile", F.col("o_totalprice").alias("cut"))
+    """Positional cut points sorted[n * k // 10] of each class: places in one order of all rows, so no class is one task's."""
+    o = rank_within(table(spark, d, "orders", "o_orderpriority", "o_totalprice", "o_orderkey"), ["o_orderpriority"], ["o_totalprice", "o_orderkey"])
+    at = F.explode(F.filter(F.sequence(F.lit(1), F.lit(9)), lambda k: F.floor(F.col("class_size") * k / 10) == F.col("rank") - 1))
+    return o.select("o_orderpriority", at.alias("decile"), F.col("o_totalprice").alias("cut"))
 
 
 @catalog.query(
     "split_half",
-    f"""WITH s AS (SELECT o_orderkey, mass >= 0.6 AS a, truth AS t, CAST(unnest(range(0, 20)) AS INT) AS split FROM {_SCORED}),
+    f"""WITH s AS (SELECT o_orderkey, mass >= 0.6 AS a, truth AS t, CAST(unnest(range(0, 20)) AS INT) AS split FROM {SCORED}),
     h AS (SELECT * FROM s WHERE left(md5(CAST(o_orderkey AS VARCHAR) || ':' || CAST(split AS VARCHAR) || ':1'), 1) < '8')
     SELECT split, round(count(*) FILTER (WHERE a AND t) / nullif(count(*) FILTER (WHERE t), 0), 6) AS recall, round(count(*) FILTER (WHERE a AND t) / nullif(count(*) FILTER (WHERE a), 0), 6) AS precision FROM h GROUP BY split""",
 )
 def halves(spark: SparkSession, d: str) -> DataFrame:
-    return split_half(_scored(spark, d), "o_orderkey", "mass", "truth", 0.6, 20)
+    return split_half(scored(spark, d), "o_orderkey", "mass", "truth", 0.6, 20)
 
 
 @catalog.query(
     "split_half_fifty",
-    f"""WITH s AS (SELECT o_orderkey, mass >= 0.6 AS a, truth AS t, CAST(unnest(range(0, 50)) AS INT) AS split FROM {_SCORED}),
+    f"""WITH s AS (SELECT o_orderkey, mass >= 0.6 AS a, truth AS t, CAST(unnest(range(0, 50)) AS INT) AS split FROM {SCORED}),
     h AS (SELECT * FROM s WHERE left(md5(CAST(o_orderkey AS VARCHAR) || ':' || CAST(split AS VARCHAR) || ':1'), 1) < '8')
     SELECT split, round(count(*) FILTER (WHERE a AND t) / nullif(count(*) FILTER (WHERE t), 0), 6) AS recall, round(count(*) FILTER (WHERE a AND t) / nullif(count(*) FILTER (WHERE a), 0), 6) AS precision FROM h GROUP BY split""",
 )
 def fifty_halves(spark: SparkSession, d: str) -> DataFrame:
-    return split_half(_scored(spark, d), "o_orderkey", "mass", "truth", 0.6, 50)
+    return split_half(scored(spark, d), "o_orderkey", "mass", "truth", 0.6, 50)
