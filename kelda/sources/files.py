@@ -91,13 +91,17 @@ def unpack_members(path: str, members: list[str], landing: str) -> dict[str, str
             inner = by_name.get(m.lower())
             if inner is None:
                 raise SchemaMismatch(f"{path} has no member {m}; it has {sorted(by_name)}")
-            with z.open(inner) as f:
-                encoding, _ = decide_encoding(f.read(1 << 20)[:-4] or b"")
             target = os.path.join(landing, m)
-            with z.open(inner) as f, open(target, "w", encoding="utf-8", newline="") as to:
-                text = io.TextIOWrapper(f, encoding=encoding, errors="replace", newline="")
-                while part := text.read(1 << 20):
-                    to.write(part)
+            # A byte anywhere may tell, so UTF-8 is tried on all of the member before another encoding is.
+            for encoding, errors in (("utf-8-sig", "strict"), ("cp1252", "strict"), ("utf-8-sig", "replace")):
+                try:
+                    with z.open(inner) as f, open(target, "w", encoding="utf-8", newline="") as to:
+                        text = io.TextIOWrapper(f, encoding=encoding, errors=errors, newline="")
+                        while part := text.read(1 << 20):
+                            to.write(part)
+                    break
+                except UnicodeDecodeError:
+                    continue
             out[m] = target
     return out
 

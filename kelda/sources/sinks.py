@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-import os
 import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kelda.operators.sets import insert_absent
+from kelda.sources.storage import Storage
 
 POINTER = "CURRENT"
 
@@ -22,52 +22,39 @@ def publish(df: DataFrame, root: str, meta: dict[str, object], keep: int = 2, pa
     and counted in the meta row. The last ``keep`` builds stay.
     """
     build = f"build-{int(time.time() * 1000):x}-{uuid.uuid4().hex[:8]}"
-    path = os.path.join(root, build)
+    spark, path = df.sparkSession, f"{root}/{build}"
+    store = Storage(spark)
     kept = df if key is None else df.where(F.coalesce(~F.lower(F.trim(F.col(key).cast("string"))).isin("", "nan"), F.lit(False)))
     writer = kept.write.mode("error")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(os.path.join(path, "data"))
-    spark = df.sparkSession
-    written = spark.read.parquet(os.path.join(path, "data")).count()
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{path}/data")
+    written = spark.read.parquet(f"{path}/data").count()
     row = {**meta, "build": build, "row_count": written, "built_at": int(time.time())}
-    spark.createDataFrame([(json.dumps(row, sort_keys=True),)], "meta string").coalesce(1).write.text(os.path.join(path, "meta"))
-    part = os.path.join(root, f"{POINTER}.{uuid.uuid4().hex}")
-    with open(part, "w", encoding="utf-8") as f:
-        f.write(build)
-    os.replace(part, os.path.join(root, POINTER))
-    builds = sorted(b for b in os.listdir(root) if b.startswith("build-") and b != build)
+    spark.createDataFrame([(json.dumps(row, sort_keys=True),)], "meta string").coalesce(1).write.text(f"{path}/meta")
+    store.replace(f"{root}/{POINTER}", build)
+    builds = [b for b in store.names(root) if b.startswith("build-") and b != build]
     for old in builds[: max(0, len(builds) - (keep - 1))]:
-        _remove(os.path.join(root, old))
+        store.remove(f"{root}/{old}")
     return build
 
 
-def _remove(path: str) -> None:
-    for folder, dirs, files in os.walk(path, topdown=False):
-        for f in files:
-            os.remove(os.path.join(folder, f))
-        for d in dirs:
-            os.rmdir(os.path.join(folder, d))
-    os.rmdir(path)
-
-
 def current(spark: SparkSession, root: str) -> DataFrame:
     """The published build; FileNotFoundError where nothing was published, which differs from an empty table."""
-    with open(os.path.join(root, POINTER), encoding="utf-8") as f:
-        return spark.read.parquet(os.path.join(root, f.read().strip(), "data"))
+    return spark.read.parquet(f"{root}/{Storage(spark).read(f'{root}/{POINTER}').strip()}/data")
 
 
-def current_meta(root: str) -> dict[str, object]:
-    with open(os.path.join(root, POINTER), encoding="utf-8") as f:
-        folder = os.path.join(root, f.read().strip(), "meta")
-    name = next(n for n in sorted(os.listdir(folder)) if n.startswith("part-"))
-    with open(os.path.join(folder, name), encoding="utf-8") as f:
-        return json.loads(f.readline())
+def current_meta(root: str, spark: SparkSession | None = None) -> dict[str, object]:
+    """The meta row of the published build."""
+    store = Storage(spark or SparkSession.active())
+    folder = f"{root}/{store.read(f'{root}/{POINTER}').strip()}/meta"
+    name = next(n for n in store.names(folder) if n.startswith("part-"))
+    return json.loads(store.read(f"{folder}/{name}").splitlines()[0])
 
 
 def append_once(df: DataFrame, path: str, keys: list[str], order: list[str], fmt: str = "json") -> int:
     """Appends the rows whose key the log lacks, the first of each, and gives their number."""
     spark = df.sparkSession
     reader = spark.read.schema(df.schema).format(fmt)
-    have = reader.load(path) if os.path.isdir(path) else spark.createDataFrame([], df.schema)
+    have = reader.load(path) if Storage(spark).exists(path) else spark.createDataFrame([], df.schema)
     fresh = insert_absent(have, df, keys, order).cache()
     n = fresh.count()
     if n:

@@ -11,34 +11,42 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from kelda.operators.sets import insert_absent
+from kelda.sources.storage import Storage
 
 
 def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 100) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
+#: Buckets of keys in which a table of first rows is kept.
+BUCKETS = 64
+
+
 def insert_first(stream: DataFrame, target: str, keys: list[str], order: list[str], checkpoint: str) -> StreamingQuery:
     """Appends to the Parquet table at ``target`` the first row of each key that it lacks, batch by batch.
 
-    A batch that is repeated after a failure overwrites its own folder, so a row is never
-    stored twice.
+    The table is kept in buckets of keys, and a batch reads no more than the keys of the
+    buckets that it touches. A batch that is repeated after a failure overwrites its own
+    folders, so a row is never stored twice.
     """
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        have = stored(spark, target, batch.schema).where(F.col("batch") < number).drop("batch")
-        insert_absent(have, batch, keys, order).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        placed = batch.withColumn("bucket", bucket)
+        touched = [r.bucket for r in placed.select("bucket").distinct().collect()]
+        have = stored(spark, target, batch.schema, whole=True).where(F.col("bucket").isin(touched) & (F.col("batch") < number))
+        fresh = insert_absent(have.select(*placed.columns), placed, keys, order)
+        fresh.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(target)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stored(spark: SparkSession, target: str, schema: StructType) -> DataFrame:
-    """What ``insert_first`` has stored so far, with the batch of each row."""
-    shape = StructType([*schema.fields]).add("batch", "long")
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-        return spark.createDataFrame([], shape)
-    return spark.read.schema(shape).parquet(target)
+def stored(spark: SparkSession, target: str, schema: StructType, whole: bool = False) -> DataFrame:
+    """What ``insert_first`` has stored so far, with the batch of each row and, if ``whole``, its bucket."""
+    shape = StructType([*schema.fields]).add("bucket", "integer").add("batch", "long")
+    rows = spark.read.schema(shape).parquet(target) if Storage(spark).exists(target) else spark.createDataFrame([], shape)
+    return rows if whole else rows.drop("bucket")
 
 
 def daily_counts(stream: DataFrame, at: str, group: str, late: str = "2 days") -> DataFrame:

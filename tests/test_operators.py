@@ -6,6 +6,7 @@ import datetime as dt
 import math
 from fractions import Fraction
 import os
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -227,6 +228,16 @@ def test_files_and_sinks(spark, tmp_path):
     assert sorted(x for x in os.listdir(root) if x.startswith("build")) == sorted(builds[1:])
     log = str(tmp_path / "log")
     assert [sinks.append_once(rows, log, ["id"], ["text"]) for _ in range(2)] == [2, 0]
+    named = f"file://{tmp_path}/named"
+    assert [sinks.append_once(rows, named, ["id"], ["text"]) for _ in range(2)] == [2, 0]
+    sinks.publish(rows, f"{named}-built", {"source": 9})
+    assert sinks.current(spark, f"{named}-built").count() == 2 and sinks.current_meta(f"{named}-built", spark)["source"] == 9
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("late.csv", b"x" * 2_000_000 + "é".encode("cp1252"))
+        z.writestr("tiny.csv", "é".encode("cp1252"))
+        z.writestr("marked.csv", "\ufeffé".encode())
+    out = files.unpack_members(str(tmp_path / "a.zip"), ["late.csv", "tiny.csv", "marked.csv"], str(tmp_path / "landing"))
+    assert all(open(p, encoding="utf-8").read().lstrip("x") == "é" for p in out.values())
     assert sinks.compare_provenance({"sha256": "a"}, {"sha256": "a"}) == {"state": "same", "basis": "sha256"}
     assert sinks.compare_provenance({}, {}) == {"state": "unknown", "basis": "none"}
     assert sinks.output_path("x", None, "few") == "x.sample"
