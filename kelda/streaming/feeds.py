@@ -19,7 +19,7 @@ def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_ba
 
 
 #: Buckets of keys in which a table of first rows is kept.
-BUCKETS = 64
+BUCKETS = 16
 
 
 def insert_first(stream: DataFrame, target: str, keys: list[str], order: list[str], checkpoint: str) -> StreamingQuery:
