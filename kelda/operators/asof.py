@@ -16,14 +16,28 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from kelda.session import shuffle_partitions
 
-#: Buckets a shuffle partition holds; a task has one bucket at a time in memory.
+#: Buckets a shuffle partition holds at least; a task has one bucket at a time in memory.
 BUCKETS_PER_PARTITION = 4
+#: Bytes of both sides, as the optimizer estimates them, that a bucket is made for, and what DuckDB may take for one.
+BUCKET_BYTES, MEMORY = 32 << 20, "1GB"
+
+
+def bucket_count(*sides: DataFrame) -> int:
+    """Buckets for the data that is read: their size follows from it, and not from how many partitions a shuffle has.
+
+    What the optimizer can't tell the size of counts for nothing."""
+    size = 0
+    for d in sides:
+        leaves = d._jdf.queryExecution().optimizedPlan().collectLeaves()
+        sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+        size += sum(x for x in sizes if x < 1 << 60)
+    return max(BUCKETS_PER_PARTITION * shuffle_partitions(sides[0].sparkSession), -(-size // BUCKET_BYTES))
 
 
 def _asof_bucket(asked: pa.Table, known: pa.Table) -> pa.Table:
     import duckdb
 
-    con = duckdb.connect(config={"threads": 1})
+    con = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY})
     try:
         con.register("asked", asked)
         con.register("known", known)
@@ -58,7 +72,7 @@ def asof_join(
     that their names cannot clash; a column of events named as one of the payload or
     ``known_on`` is replaced.
     """
-    n = buckets or BUCKETS_PER_PARTITION * shuffle_partitions(events.sparkSession)
+    n = buckets or bucket_count(events, versions)
     entity = F.to_json(F.array(*[F.col(f"`{k}`").cast("string") for k in keys]))
 
     def whole(df: DataFrame, *cols: str) -> DataFrame:

@@ -52,12 +52,10 @@ def version_order(df: DataFrame, id_col: str, seq: str, prev: str) -> DataFrame:
         link = cut_lineage(link)
         while rounds < most:
             on = link.select(F.col("__id").alias("__to"), F.col("__to").alias("__to2"), F.col("__n").alias("__n2"))
-            moved = link.join(on, "__to", "left")
+            moved = cut_lineage(link.join(on, "__to", "left"))
             if moved.where(F.col("__n2").isNotNull()).isEmpty():
                 break
-            link = cut_lineage(
-                moved.select("__id", F.when(F.col("__n2").isNotNull(), F.col("__to2")).otherwise(F.col("__to")).alias("__to"), (F.col("__n") + F.coalesce("__n2", F.lit(0))).alias("__n"))
-            )
+            link = moved.select("__id", F.when(F.col("__n2").isNotNull(), F.col("__to2")).otherwise(F.col("__to")).alias("__to"), (F.col("__n") + F.coalesce("__n2", F.lit(0))).alias("__n"))
             rounds += 1
     places = numbered.select(F.col(id_col).alias("__to"), F.col("__pos").alias("__at"))
     after = link.join(places, "__to", "inner").select(F.col("__id").alias(id_col), (F.col("__at") + 1 - F.pow(F.lit(2.0), -F.col("__n"))).alias("__after"))
@@ -153,7 +151,8 @@ def version_history(df: DataFrame, entity: list[str], id_col: str, pos: str, sta
     Defined cases: NULL attribute values are values; ties of ``pos`` on one day go to the
     row greatest by all its columns, else to the later start; an empty input gives no rows.
     """
-    periods = in_force(df, entity, pos, start, end)
+    # Read by the change log and for the first version of each stretch.
+    periods = cut_lineage(in_force(df, entity, pos, start, end))
     wide = combine(change_log(periods, entity, attributes), entity, attributes)
     first = periods.select(*entity, F.col("__from").alias("valid_from"), id_col)
     return wide.join(first, [*entity, "valid_from"], "inner")

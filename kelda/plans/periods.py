@@ -9,6 +9,7 @@ from kelda.operators.asof import asof_join
 from kelda.operators.history import latest_delivery, version_history, version_order
 from kelda.operators.intervals import merge_intervals
 from kelda.plans.registry import Catalog
+from kelda.session import cut_lineage
 from kelda.sources.tables import table
 
 catalog = Catalog()
@@ -82,7 +83,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
         readable_day("end_date").alias("ends"),
         *attributes,
     )
-    placed = version_order(latest_delivery(rows, "reg_id", "posted"), "reg_id", "version_seq", "prev_reg_id")
+    # Placing versions reads them several times, so they are reduced once.
+    placed = version_order(cut_lineage(latest_delivery(rows, "reg_id", "posted")), "reg_id", "version_seq", "prev_reg_id")
     out = version_history(placed, ["reg_base"], "reg_id", "__pos", "starts", "ends", attributes)
     return out.select("reg_base", "reg_id", iso("valid_from").alias("valid_from"), F.coalesce(iso("valid_to"), F.lit("")).alias("valid_to"))
 
