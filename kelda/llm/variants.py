@@ -251,9 +251,8 @@ def near_leads(leads: DataFrame) -> DataFrame:
     """kind, lead, to: pairs of leads that share a form, either way.
 
     Forms are shuffled once, as a pair of longs. Those of a single lead, nearly all, end in
-    a hash aggregation; those of two are a pair; only those of more are joined. A form is
-    one lead's but for slips and chance, as no more leads can share it than there are ways
-    to put two letters back."""
+    a hash aggregation; only the others are joined. A form is one lead's but for slips and
+    chance, as no more leads can share it than there are ways to put two letters back."""
 
     def forms_of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for kinds, names in batches:
@@ -261,10 +260,10 @@ def near_leads(leads: DataFrame) -> DataFrame:
 
     known = leads.select("kind", "lead", F.xxhash64("kind", "lead").alias("id"))
     forms = known.select("id", F.explode(F.pandas_udf(forms_of, "array<long>")("kind", "lead")).alias("form")).repartition("form")
-    held = forms.groupBy("form").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).where("a < b")
-    several = forms.join(held.where("n > 2").select("form").hint("shuffle_hash"), "form")
-    more = several.alias("x").join(several.alias("y"), (F.col("x.form") == F.col("y.form")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    pairs = cut_lineage(held.where("n = 2").select("a", "b").unionByName(more).distinct())
+    held = forms.groupBy("form").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("form")
+    several = cut_lineage(forms.join(held.hint("shuffle_hash"), "form"))
+    x, y = several.select("form", F.col("id").alias("a")), several.select("form", F.col("id").alias("b"))
+    pairs = cut_lineage(x.hint("merge").join(y, "form").where("a < b").select("a", "b").distinct())
     first, second = known.select(F.col("id").alias("a"), "kind", "lead"), known.select(F.col("id").alias("b"), F.col("lead").alias("to"))
     near = pairs.join(first, "a").join(second, "b").select("kind", "lead", "to")
     return near.unionByName(near.select("kind", F.col("to").alias("lead"), F.col("lead").alias("to")))
