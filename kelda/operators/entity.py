@@ -65,6 +65,16 @@ def prefix_collisions(names: DataFrame, name: str, least: int = 1) -> DataFrame:
     return a.join(b, "__k").where(F.col("name_a") < F.col("name_b")).select("name_a", "name_b", shared.alias("shared"))
 
 
+def prefix_classes(names: DataFrame, name: str, least: int = 1) -> DataFrame:
+    """name, prefix, n_names, first: each different name with the leading words it shares and how many names do.
+
+    A row per name, so that names of one common word don't make all their pairs; counts are
+    combined before the shuffle. Shorter and NULL names have no class."""
+    words = names.select(name).where(F.col(name).isNotNull()).distinct().withColumn("__w", F.split(F.lower(name), " ")).where(F.size("__w") >= least)
+    keyed = words.select(name, F.array_join(F.slice("__w", 1, least), " ").alias("prefix"))
+    return keyed.join(keyed.groupBy("prefix").agg(F.count("*").alias("n_names"), F.min(name).alias("first")).where("n_names > 1"), "prefix")
+
+
 def latest_per_key(rows: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
     """The first ``n`` rows of each key by ``order``, which must end in something unique."""
     w = Window.partitionBy(*keys).orderBy(*order)

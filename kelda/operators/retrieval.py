@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kelda.functions.text import count_token, count_tokens, tokens
+from kelda.session import cut_lineage
 
 
 def postings(documents: DataFrame, doc_id: str, text: str, only: list[str] | None = None) -> DataFrame:
@@ -23,27 +24,40 @@ def postings(documents: DataFrame, doc_id: str, text: str, only: list[str] | Non
     return words.groupBy(doc_id, "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(documents: DataFrame, doc_id: str, text: str, query: str, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """The ``k`` best documents: doc_id, score. A query term counts as often as it is repeated.
+def bm25_lists(documents: DataFrame, doc_id: str, text: str, queries: list[str], k: int, k1: float = 1.5, b: float = 0.75) -> list[DataFrame]:
+    """For each query the ``k`` best documents: doc_id, score. A query term counts as often as it is repeated.
 
-    Lengths and frequencies come from one pass that counts the query's terms per document;
-    empty documents count in the number and the mean length. Ties go to the smaller id.
+    Texts are read once, for all queries: lengths and counts of the queries' terms, a few
+    numbers a document, are written, and statistics and scores come from them. Empty
+    documents count in the number and the mean length. Ties go to the smaller id; a query
+    without words finds nothing.
     """
-    terms = re.findall(r"\w+", query.lower())
-    weight = {t: terms.count(t) for t in dict.fromkeys(terms)}
-    if not weight:
-        return documents.select(doc_id, F.lit(0.0).alias("score")).limit(0)
-    names = list(weight)
-    counted = documents.select(doc_id, count_tokens(text).alias("len"), *[count_token(text, t).alias(f"tf{i}") for i, t in enumerate(names)])
+    weights = [Counter(re.findall(r"\w+", q.lower())) for q in queries]
+    names = list(dict.fromkeys(t for w in weights for t in w))
+    if not names:
+        return [documents.select(doc_id, F.lit(0.0).alias("score")).limit(0) for _ in queries]
+    counted = cut_lineage(documents.select(doc_id, count_tokens(text).alias("len"), *[count_token(text, t).alias(f"tf{i}") for i, t in enumerate(names)]))
     stats = counted.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(names))])
-    both = counted.where(reduce(lambda x, y: x | y, [F.col(f"tf{i}") > 0 for i in range(len(names))])).join(F.broadcast(stats))
-    parts = []
-    for i, t in enumerate(names):
-        idf = F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5) + 1)
-        tf = F.col(f"tf{i}")
-        parts.append(weight[t] * idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.col("avgdl"))))
-    score = F.round(reduce(lambda x, y: x + y, parts), 6)
-    return both.select(doc_id, score.alias("score")).where("score > 0").orderBy(F.col("score").desc(), doc_id).limit(k)
+    out = []
+    for weight in weights:
+        if not weight:
+            out.append(documents.select(doc_id, F.lit(0.0).alias("score")).limit(0))
+            continue
+        at = [names.index(t) for t in weight]
+        both = counted.where(reduce(lambda x, y: x | y, [F.col(f"tf{i}") > 0 for i in at])).join(F.broadcast(stats))
+        parts = []
+        for i, t in zip(at, weight):
+            idf = F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5) + 1)
+            tf = F.col(f"tf{i}")
+            parts.append(weight[t] * idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.col("avgdl"))))
+        score = F.round(reduce(lambda x, y: x + y, parts), 6)
+        out.append(both.select(doc_id, score.alias("score")).where("score > 0").orderBy(F.col("score").desc(), doc_id).limit(k))
+    return out
+
+
+def bm25(documents: DataFrame, doc_id: str, text: str, query: str, k: int) -> DataFrame:
+    """``bm25_lists`` of one query."""
+    return bm25_lists(documents, doc_id, text, [query], k)[0]
 
 
 def dot(a: Column, b: Column) -> Column:

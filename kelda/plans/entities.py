@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kelda.functions import text as T
 from kelda.operators.codes import evidence_id, hierarchy, roll_up, with_reasons
-from kelda.operators.entity import attribute, crosswalk, latest_per_key, longest_prefix, prefix_collisions, resolve_exact, unmatched_both
+from kelda.operators.entity import attribute, crosswalk, latest_per_key, longest_prefix, prefix_classes, prefix_collisions, resolve_exact, unmatched_both
 from kelda.plans.registry import Catalog
 from kelda.sources.tables import table
 
@@ -104,6 +104,16 @@ def prefix_collision_pairs(spark: SparkSession, d: str) -> DataFrame:
     return prefix_collisions(table(spark, d, "institution_list", "name_en"), "name_en", 2)
 
 
+@catalog.query(
+    "prefix_classes",
+    """WITH n AS (SELECT vendor, string_split(lower(vendor), ' ')[1] || ' ' || string_split(lower(vendor), ' ')[2] AS prefix FROM (SELECT DISTINCT vendor FROM contracts WHERE vendor IS NOT NULL) WHERE len(string_split(lower(vendor), ' ')) >= 2)
+    SELECT vendor, prefix, n_names, first FROM n JOIN (SELECT prefix, count(*) AS n_names, min(vendor) AS first FROM n GROUP BY 1 HAVING count(*) > 1) USING (prefix)""",
+)
+def vendor_prefixes(spark: SparkSession, d: str) -> DataFrame:
+    """Vendors that share their first two words, each with its class."""
+    return prefix_classes(table(spark, d, "contracts", "vendor"), "vendor", 2)
+
+
 _OPTIONS = ["11", "1101", "43", "4321", "432115", "77", "7710", "8", "80", "8010", "801015"]
 
 

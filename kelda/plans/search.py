@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kelda.functions.text import count_tokens
-from kelda.operators.retrieval import bm25, bm25_each, chunk, cosine, fuse, hybrid, hybrid_each, max_pool, max_pool_each, nearest, nearest_each, postings, ranked, theme, two_pole
+from kelda.operators.retrieval import bm25, bm25_lists, bm25_each, chunk, cosine, fuse, hybrid, hybrid_each, max_pool, max_pool_each, nearest, nearest_each, postings, ranked, theme, two_pole
 from kelda.plans.registry import Catalog
 from kelda.sources.tables import table
 
@@ -87,9 +87,9 @@ def chunk_max_pool(spark: SparkSession, d: str) -> DataFrame:
     SELECT doc_id, round(sum(1.0 / (60 + r)), 8) AS fused, count(*) AS n_lists FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY doc_id ORDER BY fused DESC, doc_id LIMIT 20""",
 )
 def rank_fusion(spark: SparkSession, d: str) -> DataFrame:
-    """Two ranked lists of thirty fused by reciprocal ranks."""
+    """Two ranked lists of thirty, out of one scan, fused by reciprocal ranks."""
     documents = table(spark, d, "documents", "doc_id", "text")
-    lists = [ranked(bm25(documents, "doc_id", "text", q, 30), [F.col("score").desc(), F.col("doc_id")]) for q in (QUERY, "cloud hosting")]
+    lists = [ranked(x, [F.col("score").desc(), F.col("doc_id")]) for x in bm25_lists(documents, "doc_id", "text", [QUERY, "cloud hosting"], 30)]
     return fuse(lists, "doc_id").orderBy(F.col("fused").desc(), "doc_id").limit(20)
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import io
 import os
 import py_compile
+import shutil
 import tempfile
 import zipfile
 
@@ -48,7 +50,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="kelda-ckpt-"))
+        own = tempfile.mkdtemp(prefix="kelda-ckpt-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        sc.setCheckpointDir(own)
     return sc.getCheckpointDir()
 
 
