@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kelda.functions.text import count_tokens
-from kelda.operators.retrieval import bm25, bm25_lists, bm25_each, chunk, cosine, fuse, hybrid, hybrid_each, max_pool, max_pool_each, nearest, nearest_each, postings, ranked, theme, two_pole
+from kelda.functions.text import count_tokens, matched_terms
+from kelda.operators.retrieval import HashedWords, bm25, bm25_lists, bm25_each, chunk, cosine, fuse, hybrid, hybrid_each, max_pool, max_pool_each, nearest, nearest_each, postings, ranked, semantic_each, theme, two_pole
+from kelda.plans.notices import TERMS, WORD
 from kelda.plans.registry import Catalog
 from kelda.sources.tables import table
 
@@ -122,6 +123,23 @@ def document_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunk(rows, "doc_id", F.concat_ws(" ", "doc_kind", "source"), F.col("text"))
 
 
+@catalog.query("semantic_search_each")
+def semantic_search_each(spark: SparkSession, d: str) -> DataFrame:
+    """For the first 100 characters of every document whose id is divisible by 100 the ten best documents by their best chunk; tested against brute force."""
+    rows = table(spark, d, "documents", "doc_id", "text", "doc_kind", "source")
+    queries = rows.where((F.col("doc_id") % 100 == 0) & (F.trim("text") != "")).groupBy(F.col("doc_id").alias("asked")).agg(F.min(F.left("text", F.lit(100))).alias("words"))
+    return semantic_each(rows, "doc_id", F.concat_ws(" ", "doc_kind", "source"), F.col("text"), queries, "asked", "words", HashedWords(), 10)
+
+
+@catalog.query(
+    "keyword_documents",
+    "SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(coalesce(text, '')), '{WORD % t}') THEN '{t}' END" for t in TERMS) + "], lambda x: x IS NOT NULL), ';') AS terms FROM documents",
+)
+def keyword_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Terms that every whole document holds as words."""
+    return table(spark, d, "documents", "doc_id", "text").select("doc_id", F.array_join(matched_terms("text", TERMS), ";").alias("terms"))
+
+
 @catalog.query(
     "boilerplate_spread",
     """SELECT md5(text) AS digest, count(*) AS n_documents, min(doc_id) AS first_doc FROM documents WHERE text IS NOT NULL AND text <> '' GROUP BY text HAVING count(*) > 1""",

@@ -7,7 +7,7 @@ import io
 import json
 import os
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -159,3 +159,29 @@ def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
 def scan_counts(rows: DataFrame, key: str, title: str) -> DataFrame:
     """Per key its rows and a title: two columns of the scan, reduced before the shuffle."""
     return rows.groupBy(key).agg(F.count("*").alias("n_rows"), F.min(F.when(F.trim(title) != "", F.col(title))).alias("title"))
+
+
+def resume_download(read: Callable[[int, int], bytes], path: str, size: int, part: int = 1 << 20) -> int:
+    """Fetches ``size`` bytes by ``read(start, length)`` into ``path``; gives how many were fetched now.
+
+    What an interrupted call has left in ``path.part`` is kept and continued; the file gets
+    its name only when it is whole. A file of the wrong size, left over from another
+    source, is begun anew; a read that gives nothing before the end raises.
+    """
+    if os.path.exists(path) and os.path.getsize(path) == size:
+        return 0
+    held = f"{path}.part"
+    have = os.path.getsize(held) if os.path.exists(held) else 0
+    if have > size:
+        have = 0
+    start = have
+    with open(held, "r+b" if have else "wb") as f:
+        f.seek(have)
+        while have < size:
+            got = read(have, min(part, size - have))
+            if not got:
+                raise OSError(f"{path}: the source ended after {have} of {size} bytes")
+            f.write(got)
+            have += len(got)
+    os.replace(held, path)
+    return have - start

@@ -6,7 +6,7 @@ import json
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from kelda.operators.sets import insert_absent
 from kelda.sources.storage import Storage
@@ -89,3 +89,52 @@ def compare_provenance(source: dict[str, object], built: dict[str, object]) -> d
 def spend(calls: DataFrame) -> DataFrame:
     """Calls and tokens by purpose; sums of nothing are 0."""
     return calls.groupBy("purpose").agg(F.count("*").alias("calls"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens_in", "tokens_out")])
+
+
+def write_outputs(results: dict[str, DataFrame], root: str, meta: dict[str, object]) -> dict[str, object]:
+    """Writes the small results of an evaluation below ``root``, one CSV each, and last a manifest with their rows.
+
+    A reader that finds the manifest finds all of them. Names must be plain words.
+    """
+    bad = [n for n in results if not n.replace("_", "").isalnum()]
+    if bad:
+        raise ValueError(f"no names for files: {bad}")
+    rows = {}
+    for name, df in results.items():
+        df.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{root}/{name}")
+        rows[name] = df.sparkSession.read.option("header", True).csv(f"{root}/{name}").count()
+    manifest = {**meta, "rows": rows}
+    write_manifest(f"{root}/manifest.json", manifest)
+    return manifest
+
+
+def write_manifest(path: str, manifest: dict[str, object]) -> None:
+    """A manifest in one step, in a fixed order of keys."""
+    Storage(SparkSession.active()).replace(path, json.dumps(manifest, sort_keys=True, ensure_ascii=False, indent=1))
+
+
+def read_manifest(path: str) -> dict[str, object]:
+    """A manifest, {} where there is none; one that is damaged raises."""
+    try:
+        return json.loads(Storage(SparkSession.active()).read(path))
+    except FileNotFoundError:
+        return {}
+
+
+def case_bundles(cases: DataFrame, case: str, evidence: dict[str, tuple[DataFrame, list[str]]], most: int = 50) -> DataFrame:
+    """case, bundle (JSON), digest: every case with the first ``most`` rows of each kind of evidence, and how many it has.
+
+    evidence: kind to (rows with the case's key, the columns by which they are ordered).
+    Rows are ranked before they are packed, so no case's list is longer than ``most``.
+    """
+    out = cases.select(case).distinct()
+    for kind, (rows, order) in evidence.items():
+        w = Window.partitionBy(case).orderBy(*order)
+        few = rows.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most)
+        packed = few.groupBy(case).agg(F.array_sort(F.collect_list(F.struct("__n", *[c for c in rows.columns if c != case]))).alias("__l"))
+        packed = packed.select(case, F.transform("__l", lambda x: x.dropFields("__n")).alias("__l"))
+        counts = rows.groupBy(case).agg(F.count("*").alias("__c"))
+        both = packed.join(counts, case).select(case, F.struct(F.col("__l").alias("rows"), (F.col("__c") - F.size("__l")).alias("others")).alias(kind))
+        out = out.join(both, case, "left")
+    bundle = F.to_json(F.struct(case, *evidence))
+    return out.select(case, bundle.alias("bundle"), F.sha2(bundle, 256).alias("digest"))

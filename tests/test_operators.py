@@ -244,6 +244,50 @@ def test_files_and_sinks(spark, tmp_path):
     assert list(files.pages(lambda s, n: (5, list(range(s, min(5, s + n)))), 2, 4)) == [0, 1, 2, 3]
 
 
+def test_downloads_outputs_and_bundles(spark, tmp_path):
+    from kelda.sources import files, sinks
+
+    data, path = bytes(range(256)) * 40, str(tmp_path / "big")
+    calls = []
+
+    def read(at, n):
+        calls.append(at)
+        if len(calls) == 3:
+            raise ConnectionError
+        return data[at : at + n]
+
+    with pytest.raises(ConnectionError):
+        files.resume_download(read, path, len(data), 1000)
+    assert files.resume_download(read, path, len(data), 1000) == len(data) - 2000 and open(path, "rb").read() == data
+    assert files.resume_download(read, path, len(data)) == 0
+    with pytest.raises(OSError):
+        files.resume_download(lambda a, n: b"", str(tmp_path / "none"), 5)
+    rows = spark.createDataFrame([("c", 2, "x"), ("c", 1, None), ("c", 3, "z"), ("d", 1, "y")], "k string, n int, v string")
+    root = f"file://{tmp_path}/out"
+    assert sinks.write_outputs({"all_rows": rows}, root, {"run": 1})["rows"] == {"all_rows": 4}
+    assert sinks.read_manifest(f"{root}/manifest.json")["run"] == 1 and sinks.read_manifest(f"{root}/none.json") == {}
+    with pytest.raises(ValueError):
+        sinks.write_outputs({"a/b": rows}, root, {})
+    cases = spark.createDataFrame([("c",), ("c",), ("e",)], "k string")
+    got = {r.k: r.bundle for r in sinks.case_bundles(cases, "k", {"rows": (rows, ["n"])}, most=2).collect()}
+    assert got == {"c": '{"k":"c","rows":{"rows":[{"n":1},{"n":2,"v":"x"}],"others":1}}', "e": '{"k":"e"}'}
+
+
+def test_semantic_search(spark):
+    """The best chunk of a document counts, as brute force over all chunks has it."""
+    docs = [(i, f"alpha beta word{i} " * 30 + f"\n\ngamma delta{i} " * 40) for i in range(30)] + [(90, None), (91, "")]
+    d = spark.createDataFrame(docs, "id long, t string")
+    queries = spark.createDataFrame([(1, "gamma delta7"), (2, "word3"), (3, None)], "q long, w string")
+    embed = retrieval.HashedWords(64)
+    got = {(r.query_id, r["rank"]): (r.id, r.similarity) for r in retrieval.semantic_each(d, "id", F.lit("T"), F.col("t"), queries, "q", "w", embed, 4).collect()}
+    for q, w in ((1, "gamma delta7"), (2, "word3")):
+        scores = sorted((-round(float((embed(retrieval.chunk_texts("T", t)) @ embed([w])[0]).max()), 6), i) for i, t in docs[:30])
+        want = [(i, -s) for s, i in scores[:4]]
+        mine = [got[q, k] for k in range(1, 5)]
+        assert [i for i, _ in mine[:4]] == [i for i, _ in want] or [s for _, s in mine] == pytest.approx([s for _, s in want])
+    assert not any(q == 3 for q, _ in got)
+
+
 def test_streams(spark, tmp_path):
     from kelda.streaming import feeds
 
