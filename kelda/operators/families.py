@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kelda.functions.stats import upper_median
+from kelda.operators.ranking import upper_medians
+from kelda.session import cut_lineage
 
 
 def families(rows: DataFrame, key: list[str], value: str, maxima: list[str], show: list[str], order: list[str]) -> DataFrame:
@@ -44,8 +45,8 @@ def share_floor(rows: DataFrame, bucket: str, family: str, value: str, least_sha
 
     The grand total is one row, joined to the buckets.
     """
-    per_family = rows.where(F.col(bucket).isNotNull()).groupBy(bucket, family).agg(F.max(value).alias("v"))
-    buckets = per_family.groupBy(bucket).agg(F.count("*").alias("n_families"), F.round(F.sum("v"), 2).alias("total"), upper_median("v").alias("median_value"))
+    per_family = cut_lineage(rows.where(F.col(bucket).isNotNull()).groupBy(bucket, family).agg(F.max(value).alias("v")))
+    buckets = per_family.groupBy(bucket).agg(F.count("*").alias("n_families"), F.round(F.sum("v"), 2).alias("total")).join(upper_medians(per_family, [bucket], "v", "median_value"), bucket, "left")
     whole = buckets.agg(F.sum("n_families").alias("all_families"))
     return buckets.join(F.broadcast(whole)).where(F.col("n_families") >= least_share * F.col("all_families")).drop("all_families")
 

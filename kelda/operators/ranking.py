@@ -37,3 +37,24 @@ def rank_within(rows: DataFrame, classes: list[str], order: list[str | Column],
         cond = cond & x
     kept = [F.col(f"a.{c}") for c in rows.columns]
     return every.alias("a").join(F.broadcast(first.alias("b")), cond).select(*kept, (F.col("a.__g") - F.col("b.__f") + 1).alias(rank), F.col("b.class_size"))
+
+
+def upper_medians(rows: DataFrame, keys: list[str], value: str, out: str = "median") -> DataFrame:
+    """keys, ``out``: the value at position n // 2 of each group's sorted values, NULLs and NaNs left out; groups of none have no row.
+
+    Equal values are counted before the shuffle. Of the different ones a group's bands, each
+    a 64th of an octave, tell in which the median lies, and only the values of that band are
+    put in order: a group that holds a third of all rows brings some thousand bands and one
+    of them to a task. NULL keys have no row.
+    """
+    v = F.col(value).cast("double")
+    names = keys or ["__all"]
+    held = rows.where(F.col(value).isNotNull() & ~F.isnan(v)).withColumns({"__all": F.lit(0), "__band": F.signum(v) * F.floor(F.log2(1 + F.abs(v)) * 64)})
+    counts = cut_lineage(held.groupBy(*names, "__band", value).agg(F.count("*").alias("__n")))
+    whole = Window.partitionBy(*names)
+    bands = counts.groupBy(*names, "__band").agg(F.sum("__n").alias("__c"))
+    placed = bands.withColumns({"__upto": F.sum("__c").over(whole.orderBy("__band")), "__at": F.floor(F.sum("__c").over(whole) / 2)})
+    hit = placed.where((F.col("__upto") > F.col("__at")) & (F.col("__upto") - F.col("__c") <= F.col("__at")))
+    hit = hit.select(*names, "__band", (F.col("__at") - F.col("__upto") + F.col("__c")).alias("__skip"))
+    inside = counts.join(hit, [*names, "__band"]).withColumn("__upto", F.sum("__n").over(whole.orderBy(value)))
+    return inside.where((F.col("__upto") > F.col("__skip")) & (F.col("__upto") - F.col("__n") <= F.col("__skip"))).select(*keys, F.col(value).alias(out))

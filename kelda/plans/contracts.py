@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from kelda.functions.dates import day_sql, iso, readable_day
 from kelda.functions.stats import upper_median
 from kelda.operators.families import counts_with_zeros, expiring, families, mix, nested_totals, share_floor
+from kelda.operators.ranking import upper_medians
 from kelda.plans.registry import Catalog
+from kelda.session import cut_lineage
 from kelda.sources.tables import table
 
 catalog = Catalog()
@@ -48,9 +50,10 @@ def contract_families(spark: SparkSession, d: str) -> DataFrame:
     SELECT count(*) AS n_families, count(v) AS n_valued, round(sum(v), 0) AS total, percentile_disc(0.5) WITHIN GROUP (ORDER BY CASE WHEN v > 0 THEN v END DESC) AS median_value FROM f""",
 )
 def family_summary(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "contracts", "family_id", "value").where("family_id IS NOT NULL").groupBy("family_id").agg(F.max("value").alias("v"))
-    positive = rows.withColumn("positive", F.when(F.col("v") > 0, F.col("v")))
-    return positive.agg(F.count("*").alias("n_families"), F.count("v").alias("n_valued"), F.round(F.sum("v"), 0).alias("total"), upper_median("positive").alias("median_value"))
+    rows = cut_lineage(table(spark, d, "contracts", "family_id", "value").where("family_id IS NOT NULL").groupBy("family_id").agg(F.max("value").alias("v")))
+    total = rows.agg(F.count("*").alias("n_families"), F.count("v").alias("n_valued"), F.round(F.sum("v"), 0).alias("total"))
+    # Both sides are one row.
+    return total.join(F.broadcast(upper_medians(rows.where("v > 0"), [], "v", "median_value")), F.lit(True), "left")
 
 
 @catalog.query(

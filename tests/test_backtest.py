@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kelda.operators import backtest
-from kelda.operators.ranking import global_rank, rank_within
+from kelda.operators.ranking import global_rank, rank_within, upper_medians
 
 
 def test_ranks(spark):
@@ -26,6 +26,20 @@ def test_ranks(spark):
     assert global_rank(df.limit(0), ["v", "id"]).count() == 0 and rank_within(df.limit(0), ["k"], ["v", "id"]).count() == 0
 
 
+def test_upper_medians(spark):
+    rng = random.Random(4)
+    rows = [(k, v) for k in "abc" for v in [round(rng.lognormvariate(8, 3) * rng.choice([1, 1, 1, -1]), 2) for _ in range(rng.randrange(1, 400))]] + [("a", 5.0)] * 150 + [("d", None), (None, None), ("e", 0.0), ("e", -0.5)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    want = {}
+    for k in "abce":
+        mine = sorted(v for x, v in rows if x == k and v is not None)
+        want[k] = mine[len(mine) // 2]
+    assert {r.k: r.m for r in upper_medians(df, ["k"], "v", "m").collect()} == want
+    every = sorted(v for _, v in rows if v is not None)
+    assert [r.m for r in upper_medians(df, [], "v", "m").collect()] == [every[len(every) // 2]]
+    assert upper_medians(df.limit(0), ["k"], "v").count() == 0 and upper_medians(df.limit(0), [], "v").count() == 0
+
+
 def newton(x, y, ridge):
     a = np.column_stack([np.ones(len(x)), x])
     w, pen = np.zeros(a.shape[1]), np.full(a.shape[1], ridge)
