@@ -34,7 +34,7 @@ from kelda.session import cut_lineage
 #: Words of a phrase.
 PHRASE = 3
 #: Bits of a phrase's hash that serve as its random signs.
-SIGNS = 64
+SIGNS = 32
 #: Words by which a passage may drift from its item.
 BAND = 8
 
@@ -316,6 +316,22 @@ class ItemIndex:
                 done = d
         return found
 
+    def _may_hold(self, item: int, words: np.ndarray, diagonal: int, first: int, last: int, band: int) -> bool:
+        """Whether enough words of some stretch of the item occur within the band at all, which any alignment needs."""
+        t, least = self.items[item], self.rules.min_words - 2
+        n = len(t)
+        if n < least:
+            return False
+        near = np.full(n + 2 * band, -1, np.int64)
+        a, b = max(first, diagonal - band), min(last, diagonal + n + band)
+        if a >= b:
+            return False
+        near[a - diagonal + band : b - diagonal + band] = words[a:b]
+        there = (np.lib.stride_tricks.sliding_window_view(near, 2 * band + 1)[:n] == t[:, None]).any(axis=1)
+        # A stretch with no more than the allowed share of others has a sum of at least nought.
+        run = np.concatenate([[0.0], np.cumsum(there - (1 - self.rules.damage))])
+        return bool((run[least:] - np.minimum.accumulate(run)[: n + 1 - least] >= -1e-9).any())
+
     def verify(self, item: int, words: np.ndarray, diagonal: int, first: int, last: int, band: int = BAND) -> bool:
         """Whether the item, laid along the diagonal, holds a stretch of ``min_words`` with no more than ``damage`` edits.
 
@@ -323,7 +339,10 @@ class ItemIndex:
         word. A changed word at either end looks like its neighbourhood, so one word at
         each end is given. At least the share ``own`` of its own phrases must be equal.
         """
-        rules, t = self.rules, self.items[item].tolist()
+        rules = self.rules
+        if not self._may_hold(item, words, diagonal, first, last, band):
+            return False
+        t = self.items[item].tolist()
         lo, hi = max(first, diagonal - band), min(last, diagonal + len(t) + band)
         text = words[lo:hi].tolist()
         off = diagonal - lo
