@@ -3,8 +3,10 @@
 A multinomial logistic regression on hashed character n-grams, weighted by TF-IDF, fitted
 with follow-the-regularised-leader (FTRL-proximal) under an elastic-net penalty and
 calibrated with a temperature and a share of noise on held-out rows with the labels they came with. Labels may
-be wrong: after a first fit every training sentence whose label the model contradicts with
-confidence is relabelled, and the model is fitted again; held-out rows never are, so a
+be wrong: after a first fit every training sentence is given the language that its rows, of all
+their sentences together, seem to be in, since a wrong label is wrong for a whole row; after
+the next one every sentence whose label the model contradicts with confidence is relabelled,
+and the model is fitted again. Where confidences are calibrated labels stay as given, so a
 confidence says how often a label as given agrees.
 
 A text is cut at sentence ends, line ends and separators; each cut gets a distribution
@@ -57,7 +59,7 @@ class LangRules:
     alpha, beta, l1, l2: FTRL-proximal. rounds: passes over the sample in each of ``fits`` fits.
     bare: share of the sentences that are given a second time without accents. least:
     share of the sentences in which an n-gram must occur, which keeps names out.
-    relabel: confidence from which a first fit's answer replaces a label. switch: cost, in
+    relabel: confidence from which the answer of a fit but the last, or the first where rows are known, replaces a label. switch: cost, in
     nats, of a change of language between cuts. full: letters from which a cut counts fully."""
 
     sample: int = 3000
@@ -152,10 +154,12 @@ class LangModel:
     def _calibrated(self, raw: np.ndarray) -> np.ndarray:
         return (1 - self.noise) * softmax(raw / self.temperature) + self.noise / len(self.languages)
 
-    def fit(self, texts: list[str], y: np.ndarray, rows: np.ndarray | None = None, times: np.ndarray | None = None) -> LangModel:
+    def fit(self, texts: list[str], y: np.ndarray, rows: np.ndarray | None = None, times: np.ndarray | None = None, within: tuple[np.ndarray, np.ndarray] | None = None) -> LangModel:
         """``rows``: the row each text is of; a row is held out whole, with its copies without accents.
-        ``times``: how often a text occurs with its label, which counts where confidences are calibrated."""
+        ``times``: how often a text occurs with its label, which counts where confidences are calibrated.
+        ``within``: every text and row that holds it with this label, by which labels of whole rows are put right."""
         rules, k = self.rules, len(self.languages)
+        own = len(texts)
         rng = np.random.default_rng(rules.seed)
         of = np.unique(rows if rows is not None else np.arange(len(texts)), return_inverse=True)[1]
         out = rng.permutation(of.max() + 1)[: (of.max() + 1) // 10] if len(texts) else of
@@ -174,6 +178,8 @@ class LangModel:
         begin = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
         idf = np.where(df >= rules.least * len(texts), np.log((1 + len(texts)) / (1 + df)) + 1, 0.0)
         held, rest = np.flatnonzero(aside), rng.permutation(np.flatnonzero(~aside))
+        heed = np.ones(own) if within is None else self._heed(own, *within)
+        heed = np.concatenate([heed, heed[bare]])
         for again in range(rules.fits):
             z, n = np.zeros((rules.buckets + 1, k)), np.zeros((rules.buckets + 1, k))
             for _ in range(rules.rounds):
@@ -186,6 +192,9 @@ class LangModel:
                     score = np.stack([np.bincount(row, value * w[idx, c], len(rows)) for c in range(k)], 1) + w[-1]
                     error = softmax(score)
                     error[np.arange(len(rows)), y[rows]] -= 1
+                    # Until labels of rows are put right, one long row of a wrong label must not outweigh many.
+                    if again == 0:
+                        error *= heed[rows][:, None]
                     g = np.stack([np.bincount(idx, value * error[row, c], rules.buckets + 1) for c in range(k)], 1)
                     g[-1] = error.sum(0)
                     step = (np.sqrt(n + g * g) - np.sqrt(n)) / rules.alpha
@@ -195,7 +204,11 @@ class LangModel:
             self.weights = (w[:-1] * idf[:, None]).astype(np.float32)
             self.bias = w[-1].astype(np.float32)
             p = np.concatenate([softmax(self.logits(texts[at : at + 1000])) for at in range(0, len(texts), 1000)])
-            if again < rules.fits - 1:
+            if again == 0 and within is not None:
+                # A wrong label is wrong for all of its row, so the row's other sentences tell.
+                y = self._of_rows(p[:own], y[:own], *within)
+                y = np.concatenate([y, y[bare]])
+            elif again < rules.fits - 1:
                 y = np.where(p.max(1) >= rules.relabel, p.argmax(1), y)
         if len(held):
             raw = np.concatenate([self.logits([texts[i] for i in held[at : at + 1000]]) for at in range(0, len(held), 1000)])
@@ -203,6 +216,21 @@ class LangModel:
             self.sharpness, _ = self._temper(raw, y[held], np.ones(len(held)), np.zeros(1))
         return self
 
+    @staticmethod
+    def _heed(n: int, text: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """How much each text counts so that no row counts more than a middling one."""
+        row, size = np.unique(row, return_inverse=True, return_counts=True)[1:]
+        return np.minimum(1.0, np.bincount(text, np.median(size) / size[row], n))
+
+    @staticmethod
+    def _of_rows(p: np.ndarray, y: np.ndarray, text: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """The language of most rows that hold each text, which is what all texts of a row say together."""
+        k = p.shape[1]
+        row = np.unique(row, return_inverse=True)[1]
+        main = np.stack([np.bincount(row, p[text, c]) for c in range(k)], 1).argmax(1)
+        votes = np.bincount(text * k + main[row], minlength=len(p) * k).reshape(len(p), k)
+        return np.where(votes.any(1), votes.argmax(1), y)
+
     @staticmethod
     def _temper(raw: np.ndarray, truth: np.ndarray, times: np.ndarray, noises: np.ndarray) -> tuple[float, float]:
         """Temperature and noise under which the labels are likeliest."""
@@ -279,7 +307,7 @@ def fit_language_model(rows: DataFrame, text: list[str], label: str, key: list[s
     drawn = F.xxhash64(*[F.col(f"`{k}`") for k in key])
     labelled = rows.select(*[c.alias(f"t{i}") for i, c in enumerate(columns)], F.col(f"`{label}`").alias("l"), drawn.alias("h"))
     labelled = labelled.where("l IS NOT NULL AND trim(l) NOT IN ('', 'und')").orderBy("h").limit(rules.sample)
-    said: dict[tuple[str, int], int] = {}
+    said: dict[tuple[str, int], dict[int, None]] = {}
     times: Counter = Counter()
     for n, r in enumerate(labelled.toLocalIterator()):
         code = language_of_label(r["l"])
@@ -288,7 +316,7 @@ def fit_language_model(rows: DataFrame, text: list[str], label: str, key: list[s
         for i in range(len(text)):
             if r[f"t{i}"]:
                 for c in cuts(r[f"t{i}"]):
-                    said.setdefault((c, LANGUAGES.index(code)), n)
+                    said.setdefault((c, LANGUAGES.index(code)), {})[n] = None
                     times[c, LANGUAGES.index(code)] += 1
     sentences, y, of, many = [s for s, _ in said], [c for _, c in said], [*said.values()], [times[x] for x in said]
     model = LangModel(rules)
@@ -297,7 +325,8 @@ def fit_language_model(rows: DataFrame, text: list[str], label: str, key: list[s
     if len(sentences) > rules.sentences:
         drawn = np.random.default_rng(rules.seed).choice(len(sentences), rules.sentences, replace=False)
         sentences, y, of, many = ([x[i] for i in drawn] for x in (sentences, y, of, many))
-    return model.fit(sentences, np.array(y), np.array(of), np.array(many))
+    within = np.repeat(np.arange(len(of)), [len(x) for x in of]), np.array([n for x in of for n in x])
+    return model.fit(sentences, np.array(y), np.array([next(iter(x)) for x in of]), np.array(many), within)
 
 
 def label_segments(rows: DataFrame, columns: list[str], model: LangModel) -> DataFrame:

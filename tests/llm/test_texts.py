@@ -125,6 +125,22 @@ def test_copies_do_not_fill_the_sample(spark):
     assert p.argmax(1).tolist() == [0, 1, 2, 3]
 
 
+def test_a_long_row_of_a_wrong_label_does_not_outweigh_the_others(spark):
+    """French rows, one of which is long and labelled English: their sentences are French all the same."""
+    rng = random.Random(12)
+    things = ["radios", "cartes", "gants", "portes", "tentes", "outils", "lampes", "tables"]
+    said = lambda: rng.choice(["Il nous faut {} {}.", "Dites-nous si {} {} sont prêts.", "Gardez {} {} au sec."]).format(rng.randrange(999), rng.choice(things))
+    rows = [(i, " ".join(said() for _ in range(6)), "fr") for i in range(40)] + [(40, " ".join(said() for _ in range(900)), "en")]
+    for i in range(400):
+        code = rng.choice(LANGUAGES)
+        w = rng.choice(SAID[code]).split()
+        at = rng.randrange(len(w) - 5)
+        rows.append((100 + i, " ".join(w[at : at + 8]), code))
+    m = fit_language_model(spark.createDataFrame(rows, "id int, t string, l string"), ["t"], "l", ["id"], LangRules(batch=64))
+    p = m.probabilities(["Il nous faut 6 radios.", "Dites-nous si 40 gants sont prêts.", "Gardez 12 tentes au sec.", *[SAID[c][0] for c in LANGUAGES]])
+    assert p.argmax(1).tolist() == [1, 1, 1, 0, 1, 2, 3]
+
+
 def packed(rows):
     bins: dict[str, list] = {}
     for r in rows:
