@@ -51,8 +51,8 @@ class LinkRules:
     paired at random, as others, with at most about so many of the smaller side; weight: what
     the random pairs count together, in candidates, whatever the size of the tables, and ``beside`` where loose passes bring
     others of their own, which then show how others agree; hot:
-    pairs that one key of a loose pass may give; a hotter key is left to the tighter passes,
-    which hold every pair of it that agrees in more."""
+    pairs of one key of a loose pass that are made at one place; a hotter key is spread over as
+    many places as it needs."""
 
     rounds: int = 200
     tolerance: float = 1e-7
@@ -118,16 +118,23 @@ class LinkModel:
 def candidates(left: DataFrame, right: DataFrame, passes: list[tuple], left_id: str, right_id: str, hot: int = LinkRules.hot) -> DataFrame:
     """Distinct (left_id, right_id) that share a key of some pass; a pass names an array column of keys on each side.
 
-    A pass that has a third part, "loose", leaves out keys that would give more than ``hot`` pairs."""
+    A pass that has a third part, "loose", may have keys of very many pairs: one of more than
+    ``hot`` is cut into parts of the left side, each with a copy of the right one, so that all
+    pairs are made and none of its parts is a large task."""
     found = []
     for a, b, *loose in passes:
         x = left.select(left_id, F.explode(F.array_distinct(a)).alias("__key")).where(F.col("__key") != "")
         y = right.select(right_id, F.explode(F.array_distinct(b)).alias("__key")).where(F.col("__key") != "")
+        on = ["__key"]
         if loose:
             many = x.groupBy("__key").agg(F.count("*").alias("n")).hint("merge").join(y.groupBy("__key").agg(F.count("*").alias("m")), "__key")
-            x = x.hint("merge").join(many.where(F.col("n") * F.col("m") <= hot).select("__key"), "__key")
+            # No more parts than rows on the left, so no more copies on the right than there are pairs.
+            parts = many.select("__key", F.least("n", F.ceil(F.col("n") / hot * F.col("m"))).alias("__parts"))
+            x = x.hint("merge").join(parts, "__key").withColumn("__part", F.pmod(F.xxhash64(F.lit("part"), left_id), "__parts"))
+            y = y.hint("merge").join(parts, "__key").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__parts") - 1)))
+            on.append("__part")
         # Sizes guessed before the explosion must not make it a broadcast.
-        found.append(x.hint("merge").join(y, "__key").select(left_id, right_id))
+        found.append(x.hint("merge").join(y.select(right_id, *on), on).select(left_id, right_id))
     return reduce(DataFrame.unionByName, found).distinct()
 
 

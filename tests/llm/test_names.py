@@ -232,6 +232,19 @@ def test_two_edits_make_a_candidate(spark):
     assert {(r.cid, r.pid, r.level_place) for r in out.collect()} == {("a", 1, 2), ("b", 2, 2), ("c", 3, 2)}
 
 
+def test_hot_keys_keep_all_their_pairs(spark):
+    """A place of more pairs than one part takes: bodies that share nothing else are candidates all the same."""
+    left = spark.range(300).selectExpr("concat('l', id) AS l", "array('hot', concat('k', id % 50), '') AS lk", "id % 7 AS lx")
+    right = spark.range(400).selectExpr("id AS r", "array('hot', concat('k', id % 40)) AS rk", "id % 7 AS rx")
+    for hot in (1, 1000, LinkRules.hot, 10**9):
+        got = candidates(left, right, [("lk", "rk", "loose")], "l", "r", hot)
+        assert got.count() == 300 * 400 == got.distinct().count()
+    out = link(left.limit(120), right.limit(120), "l", "r", [("lk", "rk", "loose")], [Comparison("x", F.when(F.col("lx") == F.col("rx"), 1).otherwise(0), 2)])
+    assert out.count() == 120 * 120
+    one = candidates(left.withColumn("lk", F.array(F.lit("a"))), right.where("r < 1").withColumn("rk", F.array(F.lit("a"))), [("lk", "rk", "loose")], "l", "r", 1)
+    assert one.count() == 300 and candidates(left.limit(0), right, [("lk", "rk", "loose")], "l", "r", 1).count() == 0
+
+
 def test_confidence_does_not_depend_on_size(spark, monkeypatch):
     """All records are others by chance, and together they count as much in a large table as in a small one."""
     ratios = []
